@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op9_byte_bpe
 from .mixing import OP2_SQL, op2_mix_sources
 from .sharding import op8_shard_lpt
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op8_shard_lpt": op8_shard_lpt,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 SQL = {"op2_mix_sources": OP2_SQL}
