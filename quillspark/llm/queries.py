@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .langid import op7_language_id
 from .mixing import OP2_SQL, op2_mix_sources
 from .sharding import op8_shard_lpt
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op7_language_id": op7_language_id,
     "op8_shard_lpt": op8_shard_lpt,
     "op9_byte_bpe": op9_byte_bpe,
 }
