@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op9_byte_bpe
 from .langid import op7_language_id
+from .lines import op1_line_dedup
 from .minhash import op3_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .sharding import op8_shard_lpt
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op7_language_id": op7_language_id,
