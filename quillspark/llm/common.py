@@ -17,12 +17,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the one in ``spark.checkpoint.dir``; a temporary one is made only where that is unset (tests).
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that executors and driver share for tables between jobs."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def having(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 1 << 18) -> DataFrame:
+    """The rows whose ``on`` columns are among ``keys``. Up to ``most`` distinct keys, counted first, are broadcast so that
+    the rows need no shuffle; more are joined by shuffle."""
+    keys = checkpointed(keys.select(*on).distinct())
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_semi")
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph given by rows (a, b): returns (node, component), component being the
     smallest node reachable. Nodes without edges are not returned; self-loops and nulls are ignored.

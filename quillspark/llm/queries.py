@@ -8,11 +8,13 @@ from .lines import op1_line_dedup
 from .minhash import op3_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .sharding import op8_shard_lpt
+from .suffixes import op6_suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_shard_lpt": op8_shard_lpt,
     "op9_byte_bpe": op9_byte_bpe,
