@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .hnsw import op4_embedding_dedup
 from .langid import op7_language_id
 from .lines import op1_line_dedup
 from .minhash import op3_minhash_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_shard_lpt": op8_shard_lpt,
