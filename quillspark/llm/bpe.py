@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -232,14 +233,18 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         token_of = coder.transducer.token_of
         decimal = [str(i) for i in range(len(token_of))]
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 out = coder.encode(text or "")
                 decoded = hashlib.sha256()
                 for part in coder.decode_chunks(out):
                     decoded.update(part.encode())
                 digest = hashlib.sha256(",".join([decimal[i] for i in out]).encode()).hexdigest()
-                rows.append((doc, out, len(out), digest, decoded.hexdigest()) if ids else (doc, len(out), digest, decoded.hexdigest()))
+                rows.append((doc, np.array(out, np.int32), len(out), digest, decoded.hexdigest()) if ids else (doc, len(out), digest, decoded.hexdigest()))
+                held += len(out)
+                if held > 500_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     kind = dict(docs.dtypes)[id_col]

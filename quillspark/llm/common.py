@@ -29,11 +29,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def having(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 1 << 18) -> DataFrame:
-    """The rows whose ``on`` columns are among ``keys``. Up to ``most`` distinct keys, counted first, are broadcast so that
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def having(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 1 << 18, how: str = "left_semi") -> DataFrame:
+    """The rows whose ``on`` columns are among ``keys``, or with ``how`` "left_anti" are not. Up to ``most`` distinct keys, counted first, are broadcast so that
     the rows need no shuffle; more are joined by shuffle."""
     keys = checkpointed(keys.select(*on).distinct())
-    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_semi")
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:

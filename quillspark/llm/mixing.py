@@ -79,15 +79,16 @@ def mix(
     )
 
 
-def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", most: int = 1 << 18) -> DataFrame:
     """The documents of the mix: each as many times as ``plan`` takes it, counting a begun copy as a whole one.
 
-    ``plan`` has one row a document id; a document without words is not taken.
+    ``plan`` has one row a document id; a document without words is not taken. A plan of up to ``most`` rows, counted
+    first, is broadcast.
     """
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    copies = F.expr("cast(ceil(p.taken / p.size) as int)")
-    joined = docs.alias("d").join(plan.where("taken > 0").select(id_col, "size", "taken").alias("p"), F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"p.`{id_col}`")))
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).drop("__copy")
+    counts = checkpointed(plan.where("taken > 0").select(F.col(id_col).alias("__id"), F.expr("cast(ceil(taken / size) as int)").alias("__copies")))
+    counts = F.broadcast(counts) if counts.count() <= most else counts
+    joined = docs.join(counts, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
