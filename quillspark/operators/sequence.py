@@ -41,7 +41,7 @@ def gaps(log: DataFrame, seq: str = "seq") -> DataFrame:
     heads = present.join(present.select((F.col(seq) + 1).alias(seq)), seq, "left_anti").where(F.col(seq) > 1)
     tails = present.join(present.select((F.col(seq) - 1).alias(seq)), seq, "left_anti").select(seq).union(present.sparkSession.range(1).select(F.lit(0).cast("long")))
     ranges = heads.withColumn("kind", F.lit("head")).union(tails.withColumn("kind", F.lit("tail")))
-    previous = F.last(F.when(F.col("kind") == "tail", F.col(seq)), ignorenulls=True).over(Window.orderBy(seq, F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1))
+    previous = F.last(F.when(F.col("kind") == "tail", F.col(seq)), ignorenulls=True).over(Window.orderBy(seq, "kind").rowsBetween(Window.unboundedPreceding, -1))
     return ranges.withColumn("after", previous).where("kind = 'head'").select("after", F.col(seq).alias("before"))
 
 
