@@ -429,10 +429,10 @@ def three_chain_commit(s, d):
     return consensus.three_chain(b, b.where("certified"))
 
 
-@query("+ up(block) as (select 700 union select parent from blocks b join up using (block) where parent is not null) select cast(block as bigint) as block from up")
+@query("+ up(block) as (select 140 union select parent from blocks b join up using (block) where parent is not null) select cast(block as bigint) as block from up")
 def finalize_ancestors(s, d):
     b = R.blocks(s, d)
-    return consensus.finalized(b.select("block", "parent"), b.where("block = 700"))
+    return consensus.finalized(b.select("block", "parent"), b.where("block = 140"))
 
 
 @query("+ kid as (select parent as block, block as k from blocks where certified) select b.block, b.height, case when height <= 400 then 'finalized' when block in (select x.block from kid x join kid y on y.block = x.k) then 'commit' when block in (select block from kid) then 'pre_commit' when parent is not null or certified then 'pending' else 'unknown' end as status from blocks b")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillspark.plans.queries import QUERIES, SQL
@@ -19,9 +20,16 @@ def duck():
     return con
 
 
+def plain(x):
+    if pd.isna(x):
+        return ""
+    if isinstance(x, float):
+        return str(int(x)) if x == int(x) else f"{x:.9g}"
+    return str(x)
+
+
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(f"{float(x):.6g}" if isinstance(x, float) else str(x) for x in r) for r in frame.itertuples(index=False))
+    return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
