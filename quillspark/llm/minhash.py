@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected, read
+from .common import checkpointed, having, read, release, rows_a_batch
+from .grouping import linked, shared_bands
 
 #: Signature: BANDS bands of ROWS values. A pair with similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -25,7 +26,7 @@ class _Words(dict):
     """64-bit hash of each word; emptied when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -132,7 +133,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b) of ``pairs`` that are links: pruned on signatures, then tested on the full sets."""
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,85 +142,105 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
                 sig = [np.frombuffer(b"".join(batch[c]), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b")]
                 yield batch.iloc[plausible(*sig, percent / 100)][["a", "b"]]
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "shingles": [shingle_set(t, n).tobytes() for t in batch["text"]]})
-
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yes = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield batch[["a", "b"]][np.array(yes, dtype=bool)]
 
-    kind = dict(docs.dtypes)["id"]
-    ab = f"a {kind}, b {kind}"
-    sig = classes.select("rep", "sig")
-    left = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    survivors = checkpointed(left.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").mapInPandas(prune, ab))
-    needed = survivors.select(F.col("a").alias("id")).union(survivors.select(F.col("b").alias("id"))).distinct()
-    sets = checkpointed(docs.join(needed, "id", "left_semi").mapInPandas(sets_of, f"id {kind}, shingles binary"))
+    ab = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in ("a", "b"))
+    left = pairs.join(signs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    survivors = checkpointed(left.join(signs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").mapInPandas(prune, ab))
     return (
-        survivors.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+        survivors.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         .select("a", "b", "set_a", "set_b")
         .mapInPandas(test, ab)
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, spread: int = 20, rounds: int = 4) -> DataFrame:
+def links_within(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all linked sets of a block: exact intersections by products of 0/1 matrices over the shingles that
+    two sets or more have, some thousand columns at a time; of the links, a spanning forest."""
+    sizes = np.array([len(s) for s in sets])
+    shingles, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = many > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for begin in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, (begin, begin + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[lo:hi], column[lo:hi] - begin] = 1
+        both += part @ part.T
+    linked_ = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    left, out = np.ones(len(sets), bool), []
+    for i in range(len(sets)):
+        if left[i]:
+            left[i], todo = False, [i]
+            while todo:
+                x = todo.pop()
+                for y in np.flatnonzero(linked_[x] & left):
+                    left[y] = False
+                    todo.append(y)
+                    out.append((nodes[x], nodes[y]))
+    return out
+
+
+def block_links(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) that join what belongs together in each cluster of rows (node, cluster). A cluster is dealt into blocks
+    of about ``block`` nodes and each two blocks meet in one group, so a group is bounded and no pair becomes a row."""
+    kind = dict(clusters.dtypes)["node"]
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = clusters.join(sizes, "cluster").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = links_within(group["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["shingles"]], percent)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * |shared shingles| >= percent * |all shingles| of the two.
 
     Returns (id, n_shingles, component_id, kept): component_id is the smallest id reachable over links, kept whether it is
     the id itself. Ids are integers and meant to be unique; rows that repeat an id are judged by their own text. Null and
     wordless texts have no shingles and stand alone. An empty table gives an empty result. Other columns are ignored.
 
-    1. Each text gets its shingle set's key and MinHash signature. Equal sets are one class; its least id represents it,
-       so copies, however many, take no further part.
-    2. Classes that share a band are candidates. In each band's bucket all are compared with one class only, its centre,
-       so a large group costs as many pairs as it has members, and one round joins most of it.
-    3. Then only buckets that still hold different components matter: all their pairs across components are compared. If
-       those are more than ``spread`` a class on average, another round with other centres goes first, ``rounds`` at
-       most; no pair is left out in the end.
-    Candidate pairs go through sequential Bayesian pruning on signatures and an exact test on the full sets.
+    Each text gets its shingle set's key and MinHash signature. Equal sets are one class; its least id represents it, so
+    copies, however many, take no further part. Classes that share a band meet as ``linked`` says. Candidate pairs go
+    through sequential Bayesian pruning on signatures and an exact test on the full sets; large buckets of classes that
+    are similar but not all linked are tested exactly in blocks.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with rows_a_batch(docs.sparkSession, 512):
+        return _near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col, n, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, n: int, percent: int) -> DataFrame:
+    kind = dict(docs.dtypes)["id"]
     rows = checkpointed(sketches(docs, n))
-    classes = rows.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    classes = rows.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("sig").alias("sig"))
     classes = checkpointed(classes)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)])
-    bands = classes.select("rep", F.explode(keys).alias("band"))
-
-    def around(buckets: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each class with its bucket's centre: the least id, or in later turns the least after an exclusive or
-        with a number that the turn and the bucket give."""
-        mask = F.lit(0).cast("long") if not turn else F.pmod(F.xxhash64(F.lit(turn), F.pmod("band", F.lit(8))), F.lit(1 << 62))
-        masked = F.col("rep").cast("long").bitwiseXOR(mask)
-        centres = buckets.groupBy("band").agg(F.min(masked).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        centre = F.col("least").bitwiseXOR(mask).cast(dict(buckets.dtypes)["rep"])
-        return buckets.join(centres, "band").select(F.least("rep", centre).alias("a"), F.greatest("rep", centre).alias("b")).where("a <> b").distinct()
-
-    links = checkpointed(verified(around(bands, 0), classes, docs, n, percent))
-    n_classes = classes.count()
-    for turn in range(1, rounds + 1):
-        components = connected(links)
-        labelled = bands.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-        by_label = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = by_label.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).where("labels > 1")
-        mixed = checkpointed(mixed.withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2).select("band", "pairs"))
-        total = mixed.agg(F.sum("pairs")).first()[0] or 0
-        if not total:
-            break
-        open_ = checkpointed(labelled.join(mixed, "band", "left_semi").select("band", "rep", "label"))
-        last = turn == rounds or total <= spread * n_classes
-        if last:
-            other = open_.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-            pairs = open_.withColumnRenamed("rep", "a").join(other, "band").where("label <> label_b and a < b").select("a", "b").distinct()
-        else:
-            pairs = around(open_.select("band", "rep"), turn)
-        links = checkpointed(links.union(verified(pairs, classes, docs, n, percent)))
-        if last:
-            break
-    components = connected(links)
-    class_component = classes.select("set_key", "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    bands = checkpointed(shared_bands(classes.select("node", F.explode(keys).alias("band"))))
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, n).tobytes() for t in batch["text"]]})
+
+    meeting = checkpointed(bands.select("node").distinct())
+    sets = checkpointed(having(docs.select(F.col("id").alias("node"), "text"), meeting, ["node"]).mapInPandas(sets_of, f"node {kind}, shingles binary"))
+    release(docs.sparkSession)
+    signs = classes.select("node", "sig").join(meeting, "node", "left_semi")
+    components = linked(bands, lambda pairs: verified(pairs, signs, sets, percent), lambda clusters: block_links(clusters, sets, percent))
+    class_component = classes.select("set_key", "node").join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("id", "n_shingles", "set_key").join(class_component, "set_key", "left")
     out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
