@@ -13,8 +13,8 @@ from .common import checkpointed, connected, read
 
 #: Neighbours a node keeps in an upper layer; twice as many in the lowest. A layer has 1/DEGREE of the nodes of the one below.
 DEGREE = 16
-#: Search: first width of the beam, nodes expanded at a time, queries searched together.
-BEAM, EXPAND, TOGETHER = 48, 4, 512
+#: Search: first width of the beam, how much wider the next is, nodes expanded at a time, queries searched together.
+BEAM, WIDEN, EXPAND, TOGETHER = 48, 4, 4, 512
 #: Every AUDIT-th query of a search is compared with a full scan; the least part of its links that must be found.
 AUDIT, RECALL = 16, 0.999
 
@@ -136,14 +136,14 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 def links_of(graph: Graph, members: np.ndarray, queries: np.ndarray, query_keys: np.ndarray, threshold: float):
     """Yields (query numbers, node numbers) of the pairs with cosine >= threshold that the graph finds, confirmed in double
     precision, until the recall audit passes: the audited queries' links are counted by a full scan, and if too few were
-    found, the beam doubles. A query whose beam holds nothing but links gets a wider one in any case; once a beam would
-    hold a quarter of the shard, the query scans it all."""
+    found, the beam becomes WIDEN times as wide. A query whose beam holds nothing but links gets a wider one in any case;
+    once a beam would hold a 16th of the shard, which costs more than reading it all, the query reads it all."""
     slack, n = threshold - 1e-4, len(members)
     audit = np.flatnonzero(pd.util.hash_array(query_keys) % AUDIT == 0)
     true = np.concatenate([(queries[audit[i : i + TOGETHER]] @ members.T >= threshold).sum(axis=1) for i in range(0, len(audit), TOGETHER)] or [np.zeros(0, int)])
     beam, left = BEAM, np.arange(len(queries))
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    while len(left) and 4 * beam < n:
+    while len(left) and 16 * beam < n:
         full, audited = [], 0
         for i in range(0, len(left), TOGETHER):
             part = left[i : i + TOGETHER]
@@ -162,7 +162,7 @@ def links_of(graph: Graph, members: np.ndarray, queries: np.ndarray, query_keys:
             keep = ~np.isin(q, again)
             yield q[keep], node[keep]
         found.clear()
-        left, beam = again, beam * 2
+        left, beam = again, beam * WIDEN
     for i in range(0, len(left), TOGETHER):
         part = left[i : i + TOGETHER]
         q, node = np.nonzero(queries[part] @ members.T >= threshold)
