@@ -8,13 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read, scratch_folder
+from .common import checkpointed, delete_folder, having, read, release, rows_a_batch, scratch_folder
 
 #: Bytes of a removed string, and of the head by which suffixes are ordered and compared.
-WINDOW, HEAD = 200, 64
+WINDOW, HEAD = 200, 40
 #: Windows tested together before they are tested one by one.
 STEP = 8
 _SPAN = WINDOW - HEAD + 1
@@ -118,13 +118,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _place_key(t1: np.ndarray, place: np.ndarray, tag: int = 0) -> np.ndarray:
-    """A hash that tells occurrences apart."""
-    return _signed(_mix(t1.astype(np.int64).view(np.uint64) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag)))
-
-
 def sparse_suffixes(texts: DataFrame) -> DataFrame:
-    """(head, x, t1, t2, first, last, at, run) of each anchor of each row of (t1, t2, text)."""
+    """(head, t1, t2, place, run) of each anchor of each row of (t1, t2, text). place packs the anchor's offset, how far
+    before it its first window begins, and how far apart its first and last windows are (9 bits each)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,166 +130,188 @@ def sparse_suffixes(texts: DataFrame) -> DataFrame:
                 for data, ends, numbers, begins in _segments([t.encode("utf-8", "surrogatepass") for t in part["text"]]):
                     text, first, last, at, heads, runs = _anchors(data, ends)
                     shift = begins[text] - np.concatenate(([0], ends[:-1]))[text]
-                    whose = numbers[text]
-                    yield pd.DataFrame({
-                        "head": _signed(heads), "x": _place_key(t1[whose], at + shift), "t1": t1[whose], "t2": t2[whose],
-                        "first": (first + shift).astype(np.int32), "last": (last + shift).astype(np.int32), "at": (at + shift).astype(np.int32), "run": _signed(runs),
-                    })
+                    place = (at + shift) << 18 | (at - first) << 9 | (last - first)
+                    yield pd.DataFrame({"head": _signed(heads), "t1": t1[numbers[text]], "t2": t2[numbers[text]], "place": place, "run": _signed(runs)})
 
-    return texts.mapInPandas(run, "head long, x long, t1 long, t2 long, first int, last int, at int, run long")
+    return texts.mapInPandas(run, "head long, t1 long, t2 long, place long, run long")
 
 
 class LevelledIndex:
     """Suffix arrays of batches, in levels whose sizes double.
 
-    A level is a table of heads in order, each with the least and greatest occurrence (x) it stands for. A new batch is
-    sorted, merge-scanned against every level for heads that both have, and becomes a level of rank 0; while two levels
-    have one rank, they merge into one of the next. So a batch meets at most log2(batches) levels, and each suffix is
-    rewritten at most as often.
+    A level is a table of heads in order, each with the least and greatest occurrence (x) it stands for, in buckets by
+    head, so that tables meet without a shuffle. A new batch is sorted and merge-scanned against every level for heads
+    that both have, and becomes a level of rank 0; before the next one comes, levels of one rank merge into one of the
+    next. So a batch meets at most log2(batches) + 1 levels, and each suffix is rewritten at most log2(batches) times.
     """
 
     def __init__(self, spark):
-        self.spark, self.folder = spark, f"{scratch_folder(spark)}/levels-{uuid.uuid4().hex}"
+        self.spark, self.name = spark, f"level_{uuid.uuid4().hex}"
+        self.folder = f"{scratch_folder(spark)}/{self.name}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, str]] = []
         self.repeated: list[DataFrame] = []
         self.made = 0
 
     def _write(self, heads: DataFrame) -> str:
-        path = f"{self.folder}/{self.made}"
+        table = f"{self.name}_{self.made}"
         self.made += 1
-        heads.sortWithinPartitions("head").write.parquet(path)
-        return path
+        heads.write.bucketBy(self.buckets, "head").sortBy("head").option("path", f"{self.folder}/{table}").saveAsTable(table)
+        return table
 
-    def _drop(self, path: str) -> None:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE {table}")
+        delete_folder(self.spark, f"{self.folder}/{table}")
 
-    @staticmethod
-    def _merged(heads: DataFrame) -> DataFrame:
-        return heads.groupBy("head").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    def _settle(self) -> None:
+        """Merges the last two levels while they have one rank."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
+            other = self.spark.table(b).select("head", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            both = self.spark.table(a).join(other, "head", "full").select("head", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+            self.levels.append((rank + 1, self._write(both)))
+            self._drop(a)
+            self._drop(b)
 
     def add(self, suffixes: DataFrame) -> None:
         """Adds rows (head, x) and keeps the heads that occur at two places in the batch, or in it and a level."""
-        path = self._write(self._merged(suffixes.select("head", F.col("x").alias("lo"), F.col("x").alias("hi"))))
-        batch = self.spark.read.parquet(path)
+        self._settle()
+        table = self._write(suffixes.groupBy("head").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+        batch = self.spark.table(table)
         found = batch.where("lo <> hi").select("head")
         for _, level in self.levels:
-            other = self.spark.read.parquet(level).select("head", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            other = self.spark.table(level).select("head", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
             found = found.union(batch.join(other, "head").where("lo <> lo2 or hi <> hi2 or lo <> hi").select("head"))
         self.repeated.append(checkpointed(found.distinct()))
-        self.levels.append((0, path))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            both = self.spark.read.parquet(a).union(self.spark.read.parquet(b))
-            self.levels.append((rank + 1, self._write(self._merged(both))))
-            self._drop(a)
-            self._drop(b)
+        self.levels.append((0, table))
 
     def close(self) -> DataFrame:
         """The heads found at two places or more; the levels are deleted."""
         out = self.repeated[0]
         for more in self.repeated[1:]:
             out = out.union(more)
-        self._drop(self.folder)
+        for _, table in self.levels:
+            self._drop(table)
+        delete_folder(self.spark, self.folder)
         return out.distinct()
 
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
-    """(key, least) of the keys that occur at two places or more; least is the first place."""
-    return rows.groupBy(key).agg(F.min("x").alias("least"), F.max("x").alias("__most")).where("least <> __most").select(key, "least")
+def _two_places(rows: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that occur at two places (x) or more."""
+    return rows.groupBy(key).agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least <> most").select(key)
+
+
+def _hashes_of(text: str) -> Hashes:
+    return Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
 
 
 def _step_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each listed anchor of a text, its windows in groups of STEP by distance from the anchor: hash of the bytes all
-    windows of a group have (core) and of all their bytes (hull; of own windows only if the whole group is)."""
+    windows of a group have (core) and of all their bytes (hull). A listed number is a place and a bit: whether the
+    verdict is needed. spot packs the first own window, one less than their number (3 bits), whether they are the whole
+    group, and the bit."""
     for batch in batches:
+        out = []
         for t1, t2, text, listed in zip(batch["t1"], batch["t2"], batch["text"], batch["listed"], strict=True):
-            hashes = Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-            rows = np.array([(r["first"], r["last"], r["at"], r["needed"]) for r in listed], np.int64)
-            near, far = (rows[:, 2] - rows[:, 1]) // STEP, (rows[:, 2] - rows[:, 0]) // STEP
+            hashes, listed = _hashes_of(text), np.asarray(listed, np.int64)
+            needed, at = listed & 1, listed >> 19
+            first = at - (listed >> 10 & 511)
+            last = first + (listed >> 1 & 511)
+            near, far = (at - last) // STEP, (at - first) // STEP
             many = far - near + 1
-            which = np.repeat(np.arange(len(rows)), many)
+            which = np.repeat(np.arange(len(listed)), many)
             group = near[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            first, last, at, needed = rows[which].T
-            end = at - group * STEP
+            end = at[which] - group * STEP
             begin = end - STEP + 1
-            whole = (begin >= first) & (end <= last)
-            lo, hi = np.maximum(begin, first), np.minimum(end, last)
-            hull = np.where(whole, _signed(hashes.of(lo, hi + WINDOW, group + 4096)), 0)
-            yield pd.DataFrame({
-                "core": _signed(hashes.of(end, begin + WINDOW, group)), "hull": hull, "whole": whole, "needed": needed.astype(bool),
-                "x": _place_key(np.full(len(at), t1), at, 1) + group, "t1": t1, "t2": t2, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32),
-            })
+            lo, hi = np.maximum(begin, first[which]), np.minimum(end, last[which])
+            whole = (lo == begin) & (hi == end)
+            spot = lo << 5 | (hi - lo) << 2 | whole << 1 | needed[which]
+            out.append((np.full(len(lo), t1), np.full(len(lo), t2), _signed(hashes.of(end, begin + WINDOW, group)), _signed(hashes.of(lo, hi + WINDOW, group + 4096)), spot))
+        if out:
+            yield pd.DataFrame(dict(zip(("t1", "t2", "core", "hull", "spot"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each listed window: its hash."""
+    """Each window of the listed spots: its hash, and its offset with the bit."""
     for batch in batches:
+        out = []
         for t1, t2, text, listed in zip(batch["t1"], batch["t2"], batch["text"], batch["listed"], strict=True):
-            hashes = Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-            at = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in listed])
-            needed = np.concatenate([np.full(r["hi"] + 1 - r["lo"], r["needed"], bool) for r in listed])
-            at, index = np.unique(at, return_index=True)
-            yield pd.DataFrame({"window": _signed(hashes.of(at, at + WINDOW)), "x": _place_key(np.full(len(at), t1), at, 2), "t1": t1, "t2": t2, "lo": at.astype(np.int32), "needed": needed[index]})
+            hashes, listed = _hashes_of(text), np.asarray(listed, np.int64)
+            many = (listed >> 2 & 7) + 1
+            at = np.repeat(listed >> 5, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            out.append((np.full(len(at), t1), np.full(len(at), t2), _signed(hashes.of(at, at + WINDOW)), at << 1 | np.repeat(listed & 1, many)))
+        if out:
+            yield pd.DataFrame(dict(zip(("t1", "t2", "window", "spot"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def _cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text without its listed spans."""
+    """Each text without its listed spans: a span packs its first window and how far off its last one is (9 bits)."""
     for batch in batches:
         rows = []
         for t1, t2, text, listed in zip(batch["t1"], batch["t2"], batch["text"], batch["listed"], strict=True):
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            data, listed = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), np.asarray(listed, np.int64)
             change = np.zeros(len(data) + 1, np.int64)
-            spans = np.array([(r["lo"], r["hi"]) for r in listed], np.int64)
-            np.add.at(change, spans[:, 0], 1)
-            np.add.at(change, spans[:, 1] + WINDOW, -1)
+            np.add.at(change, listed >> 9, 1)
+            np.add.at(change, (listed >> 9) + (listed & 511) + WINDOW, -1)
             gone = np.cumsum(change)[:-1] > 0
             n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
             rows.append((t1, t2, int(gone.sum()), n_spans, data[~gone].tobytes()))
         yield pd.DataFrame(rows, columns=["t1", "t2", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
-    """From rows (id, text): the distinct texts (t1, t2, n_copies, rep), and (t1, t2, n_removed, n_spans, kept) of those
-    that lose bytes to strings which stand elsewhere in the distinct texts. Two 64-bit hashes name a text."""
+def repeated_spans(docs: DataFrame, batches: int = 4, keep_bytes: bool = True) -> tuple[DataFrame, DataFrame]:
+    """From rows (id, text): the distinct texts (t1, t2, n_copies, rep), and (t1, t2, n_removed, n_spans, kept_sha256[,
+    kept]) of those that lose bytes to strings which stand elsewhere in the distinct texts. Two 64-bit hashes name a text.
+    Tables between the steps are Parquet in the shared folder, deleted when no step needs them any more."""
     spark = docs.sparkSession
-    named = docs.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).where("text is not null")
-    names = checkpointed(named.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("rep")))
+    named = docs.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("rep"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).where("text is not null")
+    names = checkpointed(named.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_copies"), F.min("rep").alias("rep")))
+    folder = f"{scratch_folder(spark)}/suffixes-{uuid.uuid4().hex}"
+    sparse_suffixes(named.select("t1", "t2", "text")).withColumn("batch", F.pmod("t2", F.lit(batches))).write.partitionBy("batch").parquet(f"{folder}/all")
+    everything = spark.read.schema("head long, t1 long, t2 long, place long, run long, batch long").parquet(f"{folder}/all")
+
+    def table(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        release(spark)
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
     index = LevelledIndex(spark)
     for batch in range(batches):
-        index.add(sparse_suffixes(named.where(F.pmod("t2", F.lit(batches)) == batch).select("t1", "t2", "text")).select("head", "x"))
-    heads = index.close()
-    suffixes = checkpointed(sparse_suffixes(named.select("t1", "t2", "text")).join(heads, "head", "left_semi").distinct())
+        index.add(everything.where(F.col("batch") == batch).select("head", F.xxhash64("t1", "t2", "place").alias("x")))
+        release(spark)
+    suffixes = table(having(everything.drop("batch"), index.close(), ["head"], most=1 << 21), "repeated")
+    delete_folder(spark, f"{folder}/all")
+    suffixes = suffixes.withColumn("x", F.xxhash64("t1", "t2", "place"))
+
+    def with_list(rows: DataFrame, listed: Column) -> DataFrame:
+        """(t1, t2, text, listed): a text and the numbers its rows give, once each."""
+        lists = checkpointed(rows.groupBy("t1", "t2").agg(F.collect_set(listed).alias("listed")).join(names, ["t1", "t2"]).select("t1", "t2", "rep", "listed"))
+        texts = having(named, lists, ["t1", "t2", "rep"])
+        return texts.join(lists, ["t1", "t2", "rep"]).select("t1", "t2", "text", "listed")
 
     # runs of windows whose bytes stand elsewhere as a whole are settled; one of each kind stays as a witness for others
     kinds = suffixes.groupBy("run").agg(F.min("x").alias("least"), F.max("x").alias("most"))
-    suffixes = checkpointed(suffixes.join(kinds, "run").withColumn("settled", F.col("least") != F.col("most")))
-    open_heads = suffixes.where("not settled").select("head").distinct()
-    todo = suffixes.where("not settled or x = least").join(open_heads, "head", "left_semi")
-    spans = suffixes.where("settled").select("t1", "t2", F.col("first").alias("lo"), F.col("last").alias("hi"))
-
-    touched = suffixes.select("t1", "t2").distinct().join(names, ["t1", "t2"]).select("t1", "t2", F.col("rep").alias("id"))
-    same = (F.col("n.t1") == F.col("d.t1")) & (F.col("n.t2") == F.col("d.t2")) & F.col("n.id").eqNullSafe(F.col("d.id"))
-    texts = checkpointed(named.alias("d").join(touched.alias("n"), same, "left_semi").select("t1", "t2", "text"))
-
-    def with_list(rows: DataFrame, *columns: str) -> DataFrame:
-        listed = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct(*columns)).alias("listed"))
-        return texts.join(listed, ["t1", "t2"]).select("t1", "t2", "text", "listed")
-
-    schema = "core long, hull long, whole boolean, needed boolean, x long, t1 long, t2 long, lo int, hi int"
-    steps = with_list(todo.withColumn("needed", ~F.col("settled")), "first", "last", "at", "needed").mapInPandas(_step_rows, schema)
-    steps = checkpointed(steps)
-    steps = steps.join(_several(steps, "core").select("core"), "core", "left_semi")
-    hulls = steps.where("whole").groupBy("hull").agg(F.min("x").alias("least"), F.max("x").alias("most"))
-    steps = steps.join(hulls.withColumn("whole", F.lit(True)), ["hull", "whole"], "left")
-    steps = checkpointed(steps.withColumn("settled", F.coalesce(F.col("least") != F.col("most"), F.lit(False))))
-    spans = spans.union(steps.where("settled and needed").select("t1", "t2", "lo", "hi"))
-    open_cores = steps.where("needed and not settled").select("core").distinct()
-    todo = steps.where("not settled or x = least").join(open_cores, "core", "left_semi").withColumn("needed", F.expr("needed and not settled"))
-    windows = checkpointed(with_list(todo, "lo", "hi", "needed").mapInPandas(_window_rows, "window long, x long, t1 long, t2 long, lo int, needed boolean"))
-    single = windows.where("needed").join(_several(windows, "window").select("window"), "window", "left_semi")
-    spans = spans.union(single.select("t1", "t2", "lo", F.col("lo").alias("hi")))
-    cut = with_list(spans.distinct(), "lo", "hi").mapInPandas(_cut_rows, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
+    suffixes = table(suffixes.join(kinds, "run").select("head", "t1", "t2", "place", (F.col("least") != F.col("most")).alias("settled"), (F.col("x") == F.col("least")).alias("witness")), "runs")
+    delete_folder(spark, f"{folder}/repeated")
+    todo = having(suffixes.where("not settled or witness"), suffixes.where("not settled"), ["head"], most=1 << 21)
+    spans = suffixes.where("settled").select("t1", "t2", F.expr("((place >> 18) - (place >> 9 & 511)) << 9 | place & 511").alias("span"))
+
+    steps = with_list(todo, F.expr("place << 1 | if(settled, 0L, 1L)")).mapInPandas(_step_rows, "t1 long, t2 long, core long, hull long, spot long")
+    steps = table(steps, "steps").withColumn("x", F.xxhash64("t1", "t2", "core", F.expr("spot >> 5")))
+    steps = steps.join(_two_places(steps, "core"), "core", "left_semi")
+    hulls = steps.where("spot & 2 = 2").groupBy("hull").agg(F.min("x").alias("least"), F.max("x").alias("most"))
+    steps = steps.join(hulls, "hull", "left").withColumn("settled", F.expr("coalesce(spot & 2 = 2 and least <> most, false)"))
+    steps = table(steps.select("core", "t1", "t2", "spot", "settled", F.expr("coalesce(x = least, false)").alias("witness")), "settled")
+    delete_folder(spark, f"{folder}/steps")
+    spans = spans.union(steps.where("settled and spot & 1 = 1").select("t1", "t2", F.expr("(spot >> 5) << 9 | spot >> 2 & 7")))
+    todo = having(steps.where("not settled or witness"), steps.where("not settled and spot & 1 = 1"), ["core"], most=1 << 21)
+    windows = with_list(todo, F.expr("if(settled, spot >> 1 << 1, spot)")).mapInPandas(_window_rows, "t1 long, t2 long, window long, spot long")
+    windows = table(windows, "windows").withColumn("x", F.xxhash64("t1", "t2", F.expr("spot >> 1")))
+    single = windows.where("spot & 1 = 1").join(_two_places(windows, "window"), "window", "left_semi")
+    spans = spans.union(single.select("t1", "t2", F.expr("(spot >> 1) << 9")))
+    cut = with_list(spans, F.col("span")).mapInPandas(_cut_rows, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
+    cut = checkpointed(cut.select("t1", "t2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *["kept"] * keep_bytes))
+    delete_folder(spark, folder)
     return names, cut.dropDuplicates(["t1", "t2"])
 
 
@@ -312,8 +330,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        partial sums and equi-joins, so a string in a third of all documents makes no large task.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names, cut = repeated_spans(docs, batches)
-    cut = cut.select("t1", "t2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *["kept"] * keep_bytes)
+    with rows_a_batch(docs.sparkSession, 1024):
+        names, cut = repeated_spans(docs, batches, keep_bytes)
     rows = docs.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("__own"), *([F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("__bytes")] * keep_bytes))
     rows = rows.join(names.where("n_copies > 1").select("t1", "t2", F.lit(True).alias("__copied")), ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
     whole = F.coalesce(F.col("__copied"), F.lit(False)) & (F.col("n_bytes") >= WINDOW)
