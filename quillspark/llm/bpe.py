@@ -7,14 +7,15 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import read, sole_cache
 
-#: Bounds of a worker's memory. Past MAX_MOVES no further moves are made deterministic; past the others a store is emptied.
-MAX_MOVES, MAX_PIECES, MAX_PIECE_BYTES, MAX_PAIRS = 60_000, 400_000, 64, 400_000
+#: Bounds of a worker's memory. Past MAX_MOVES no further moves are made deterministic, past MAX_PAIRS that store is emptied;
+#: of pieces, the last MAX_PIECES new ones and as many before them are kept, and those used again.
+MAX_MOVES, MAX_PIECES, MAX_PIECE_BYTES, MAX_PAIRS = 30_000, 200_000, 64, 300_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -24,12 +25,17 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 def merge_bytes(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     """Plain BPE: of all neighbours whose union is a token, join the lowest rank first, the leftmost of equals."""
+    get, none = ranks.get, 1 << 60
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    joint = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while joint and (low := min(joint)) != none:
+        i = joint.index(low)
+        parts[i] += parts.pop(i + 1)
+        del joint[i]
+        if i < len(joint):
+            joint[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            joint[i - 1] = get(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
@@ -118,14 +124,17 @@ class Transducer:
     def simulate(self, piece: bytes) -> list[int]:
         """The same machine without determinising, depth first: the longest legal token goes on, and a position and
         token from which no legal sequence reaches the end is left for good."""
-        get, follows, size = self.ranks.get, self.follows, len(piece)
+        get, follows, known, size = self.ranks.get, self.follows, self.pairs.get, len(piece)
         out: list[int] = []
         at, last, tried = 0, None, 0  # tried: the length of the last token tried here, 0 for none
         dead: set[tuple[int, int | None]] = set()
         while at < size:
             for n in range(tried - 1 if tried else min(self.longest, size - at), 0, -1):
                 token = get(piece[at : at + n])
-                if token is not None and follows(last, token) and (not dead or (at + n, token) not in dead):
+                if token is None:
+                    continue
+                legal = None if last is None else known(last << 32 | token)
+                if (follows(last, token) if legal is None else legal) and (not dead or (at + n, token) not in dead):
                     out.append(token)
                     at, last, tried = at + n, token, 0
                     break
@@ -176,20 +185,26 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.transducer.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= MAX_PIECE_BYTES:
+            self.pieces[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces, self.older = {}, self.pieces
         out: list[int] = []
         pieces, extend = self.pieces, out.extend
         for piece in self.split(text):
             try:
                 extend(pieces[piece])
             except KeyError:
-                ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= MAX_PIECE_BYTES:
-                    if len(pieces) >= MAX_PIECES:
-                        pieces.clear()
-                    pieces[piece] = tuple(ids)
-                extend(ids)
+                extend(self._ids(piece))
         return out
 
     def decode_chunks(self, ids: list[int], chunk: int = 1 << 16) -> Iterator[str]:
@@ -228,29 +243,31 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("bpe", _codecs.clear)
         coder = codec(*shared.value)
-        token_of = coder.transducer.token_of
-        decimal = [str(i) for i in range(len(token_of))]
+        decimal = [str(i) for i in range(len(coder.transducer.token_of))]
         for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                out = coder.encode(text or "")
-                decoded = hashlib.sha256()
-                for part in coder.decode_chunks(out):
-                    decoded.update(part.encode())
-                digest = hashlib.sha256(",".join([decimal[i] for i in out]).encode()).hexdigest()
-                rows.append((doc, np.array(out, np.int32), len(out), digest, decoded.hexdigest()) if ids else (doc, len(out), digest, decoded.hexdigest()))
-                held += len(out)
-                if held > 500_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                tokens, counts, digests, decoded = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    out = coder.encode(text or "")
+                    back = hashlib.sha256()
+                    for piece in coder.decode_chunks(out):
+                        back.update(piece.encode())
+                    if ids:
+                        tokens.append(np.array(out, np.int32))
+                    counts.append(len(out))
+                    digests.append(hashlib.sha256(",".join([decimal[k] for k in out]).encode()).hexdigest())
+                    decoded.append(back.hexdigest())
+                columns = [part.column(0), *([pa.array(tokens, pa.list_(pa.int32()))] if ids else []), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(docs.dtypes)[id_col]
     names = ["id", *["ids"] * ids, "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = f"id {kind}, {'ids array<int>, ' * ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    out = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInPandas(run, schema)
+    out = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, sole_cache
 
 BITS = 16
 #: Odd multipliers of the rolling hash, one a place.
@@ -104,6 +104,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, eligible:
     sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), chance.alias("chance")).join(F.broadcast(shares), "lang").where("chance < share and text is not null").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("langid", lambda: None)
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sole_cache("langid", lambda: None)
         model = shared.value
         for texts in batches:
             lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))

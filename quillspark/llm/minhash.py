@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, having, read, release, rows_a_batch
+from .common import checkpointed, having, read, release, rows_a_batch, sole_cache
 from .grouping import linked, shared_bands
 
 #: Signature: BANDS bands of ROWS values. A pair with similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
@@ -26,7 +26,7 @@ class _Words(dict):
     """64-bit hash of each word; emptied when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 80_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -83,6 +83,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, set_key, sig) of each row of (id, text); set_key is equal just for equal sets, null for none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("minhash", _words.clear)
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.iloc[i : i + 256]
