@@ -134,7 +134,7 @@ def neighbour_graph(vectors: DataFrame, rounds: int = 4) -> DataFrame:
     return graph
 
 
-def graph_search(graph: DataFrame, queries: DataFrame, rounds: int = 4, expand: int = 96, pool: int = 256) -> DataFrame:
+def graph_search(graph: DataFrame, queries: DataFrame, rounds: int = 4, expand: int = 192, pool: int = 384) -> DataFrame:
     """(query, ids, sims): the ``pool`` best candidates found for each row (id) of ``queries``, itself a node of the graph.
 
     Best first from the query's own neighbours: in each round up to ``expand`` of its best candidates that were not
@@ -199,7 +199,7 @@ def graph_search(graph: DataFrame, queries: DataFrame, rounds: int = 4, expand:
     return state.select("query", "ids", "sims")
 
 
-def nearest(rows: DataFrame, asked: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, rounds: int = 4, expand: int = 96) -> DataFrame:
+def nearest(rows: DataFrame, asked: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, rounds: int = 4, expand: int = 192) -> DataFrame:
     """The ``k`` nearest rows found, by cosine, of each row for which ``asked`` holds: (query_id, rank, id, score).
 
     Candidates are all rows but the query's own id. Scores are cosines of the original vectors in double precision; rank
