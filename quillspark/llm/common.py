@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,16 @@ _holder: list[tuple[str, Callable[[], None]]] = []
 
 
 def sole_cache(name: str, clear: Callable[[], None]) -> None:
-    """Called in a Python worker by an operator that keeps something between tasks: what another operator kept there goes."""
-    if not _holder or _holder[0][0] != name:
-        for _, other in _holder:
-            other()
-        _holder[:] = [(name, clear)]
+    """Called in a Python worker by an operator that keeps something between tasks: what another operator kept there goes,
+    and its memory goes back to the machine where the C library can do that."""
+    if _holder and _holder[0][0] == name:
+        return
+    for _, other in _holder:
+        other()
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _holder[:] = [(name, clear)]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
