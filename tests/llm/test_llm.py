@@ -104,6 +104,30 @@ def test_block_keys_meet_within_distance(spark):
     assert d.where(~F.arrays_overlap(lines.block_keys("a"), lines.block_keys("b"))).count() == 0
 
 
+def test_near_lines_against_edit_counts(spark):
+    """Every pair with edit similarity 0.8 is found, counted by brute force: short, spaced, unspaced and long lines."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    base = [" ".join(word() for _ in range(n)) for n in (2, 3, 4, 8, 10, 12, 20, 40, 300) for _ in range(3)]
+    base += ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (10, 40, 80) for _ in range(3)]
+    texts = []
+    for b in base:
+        c = list(b)
+        for i in r.sample(range(1, len(c) - 1), max(1, len(c) // 12)):
+            c[i] = "z"
+        texts += [b, "".join(c)]
+    texts += [" ".join(word() for _ in range(10)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = docs.selectExpr("doc_id a", "text ta").crossJoin(docs.selectExpr("doc_id b", "text tb")).where("a < b and levenshtein(ta, tb) * 100 <= greatest(length(ta), length(tb)) * 20")
+    parent = list(range(len(texts)))
+    for x in sorted(pairs.select("a", "b").collect()):
+        lo, hi = sorted((parent[x.a], parent[x.b]))
+        parent = [lo if p == hi else p for p in parent]
+    want = {i for i, p in enumerate(parent) if p != i}
+    assert len(want) >= len(base)
+    assert {x.doc_id for x in lines.deduplicate_lines(docs).where("n_removed > 0").collect()} == want
+
+
 # ---- mixing and sharding
 
 
