@@ -128,6 +128,15 @@ def test_near_lines_against_edit_counts(spark):
     assert {x.doc_id for x in lines.deduplicate_lines(docs).where("n_removed > 0").collect()} == want
 
 
+def test_lines_alike_but_for_punctuation(spark):
+    rows = [(1, "und aebe.\nx"), (2, "und | aebe.\r\ny"), (3, "und###\taebe!!"), (4, "-----\n\r\n\t"), (5, "-----\r\n\r\n\t"), (None, "\u0915\u093f \u0916\nonly here, once again"), (None, "\u0915\u0940 \u0916"), (7, "only here, once agair")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines): r.text for r in lines.deduplicate_lines(docs).collect()}
+    assert got[1, 2] == "und aebe.\nx" and got[2, 2] == "y" and got[3, 1] == ""
+    assert got[5, 3] == "\r\n\t" and got[4, 3] == "-----\n\r\n\t"
+    assert got[None, 1] == rows[6][1] and got[None, 2] == rows[5][1] and got[7, 1] == ""
+
+
 # ---- mixing and sharding
 
 
