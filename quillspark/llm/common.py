@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import itertools
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
@@ -68,6 +70,23 @@ def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def stored(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table as Parquet to the shared folder and reads it again; all are deleted at the end."""
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    names = itertools.count()
+
+    def store(df: DataFrame) -> DataFrame:
+        name = f"{folder}/{next(names)}"
+        df.write.parquet(name)
+        return spark.read.schema(df.schema).parquet(name)
+
+    try:
+        yield store
+    finally:
+        delete_folder(spark, folder)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

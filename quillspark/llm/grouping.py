@@ -60,7 +60,8 @@ def linked(
     for turn in range(1, rounds + 1):
         components = connected(links)
         own = ["band", "node", "n", *(["sig"] if close else [])]
-        labelled = multi.join(components, "node", "left").select(*own, F.coalesce("component", "node").alias("label"))
+        # the two nodes of a bucket of two have met already
+        labelled = multi.where("n > 2").join(components, "node", "left").select(*own, F.coalesce("component", "node").alias("label"))
         mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
         open_ = checkpointed(labelled.join(mixed, "band", "left_semi"))
         listed, apart, more = open_, F.col("label") != F.col("label_b"), None

@@ -91,19 +91,6 @@ def test_fuzzy_lines(spark):
     assert rows
 
 
-def test_block_keys_meet_within_distance(spark):
-    r = random.Random(1)
-    pairs = []
-    for _ in range(200):
-        a = r.getrandbits(64)
-        b = a
-        for bit in r.sample(range(64), lines.DISTANCE):
-            b ^= 1 << bit
-        pairs.append((a - (1 << 63), b - (1 << 63)))
-    d = spark.createDataFrame(pairs, "a long, b long")
-    assert d.where(~F.arrays_overlap(lines.block_keys("a"), lines.block_keys("b"))).count() == 0
-
-
 def test_near_lines_against_edit_counts(spark):
     """Every pair with edit similarity 0.8 is found, counted by brute force: short, spaced, unspaced and long lines."""
     r = random.Random(11)
