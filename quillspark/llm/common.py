@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,10 +36,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the cluster's checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; a temporary one is made only where that is unset (tests).
+    The folder is the one in ``spark.checkpoint.dir``. Inside a ``scope`` the table goes at its end.
     """
+    return _checkpointed(df, _scopes[-1] if _scopes else None)
+
+
+def _checkpointed(df: DataFrame, owner: 'Scope | None') -> DataFrame:
     scratch_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    place = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if owner and place.isDefined():
+        owner.folders.append(place.get())
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -51,10 +58,14 @@ def release(spark: SparkSession) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that executors and driver share for tables between jobs."""
+    """The folder that executors and driver share for tables between jobs: ``spark.checkpoint.dir``. A machine-local one
+    would not do, so there is none to fall back on but in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -70,21 +81,38 @@ def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-@contextmanager
-def stored(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that writes a table as Parquet to the shared folder and reads it again; all are deleted at the end."""
-    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    names = itertools.count()
+class Scope:
+    """Tables of one operator in the shared folder, deleted when it has its result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.outer = spark, [], _scopes[-1] if _scopes else None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read again: for tables of which later steps read some columns."""
+        self.folders.append(f"{scratch_folder(self.spark)}/{uuid.uuid4().hex}")
+        df.write.parquet(self.folders[-1])
+        return self.spark.read.schema(df.schema).parquet(self.folders[-1])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` computed and stored beyond this scope, for the operator that called this one."""
+        return _checkpointed(df, self.outer)
 
-    def store(df: DataFrame) -> DataFrame:
-        name = f"{folder}/{next(names)}"
-        df.write.parquet(name)
-        return spark.read.schema(df.schema).parquet(name)
 
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """What ``checkpointed`` and ``Scope.store`` write inside goes at the end; ``Scope.keep`` saves a result."""
+    own = Scope(spark)
+    _scopes.append(own)
     try:
-        yield store
+        yield own
     finally:
-        delete_folder(spark, folder)
+        _scopes.remove(own)
+        for folder in own.folders:
+            delete_folder(spark, folder)
+        release(spark)
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
@@ -99,6 +127,16 @@ def having(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 1 << 18,
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
 
 
+def join_heavy(rows: DataFrame, table: DataFrame, on: str, count: str, heavy: int = 1000, most: int = 1 << 18) -> DataFrame:
+    """``rows`` joined with ``table``, which has each value of ``on`` once and in ``count`` the number of rows that have it.
+    Values in at least ``heavy`` rows are broadcast, so that no task gets all rows of one; up to ``most`` of them, counted
+    first. The others, and beyond that all, are joined by shuffle."""
+    often = table.where(F.col(count) >= heavy).drop(count)
+    if often.count() > most:
+        return rows.join(table.drop(count), on)
+    return rows.join(F.broadcast(often), on).unionByName(rows.join(table.where(F.col(count) < heavy).drop(count), on))
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph given by rows (a, b): returns (node, component), component being the
     smallest node reachable. Nodes without edges are not returned; self-loops and nulls are ignored.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -84,7 +85,10 @@ class Model:
         self.langs = langs
         self.prior = np.log(n_docs / n_docs.sum())
         totals = counts.sum(axis=1, keepdims=True) + alpha * counts.shape[1]
-        self.logs = np.ascontiguousarray(np.log((counts + alpha) / totals).T.astype(np.float32))
+        chances = (counts + alpha) / totals
+        self.logs = np.ascontiguousarray(np.log(chances).T.astype(np.float32))
+        #: mean log-likelihood ratio of an n-gram of the language against chance
+        self.gain = np.maximum((chances * np.log(chances)).sum(axis=1) + math.log(counts.shape[1]), 1e-9)
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, eligible: Column, per_lang: int = 8000, alpha: float = 0.1) -> Model | None:
@@ -135,32 +139,39 @@ def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": [lang], "counts": [numbers.astype("<i8").tobytes()]})
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language given the whole text.
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score``, the posterior probability of that language given the whole text, and ``fit``.
 
-    ``und`` with score 0 for a null text, one without letters, or without a model. Other columns pass through; a column
-    that has one of the two names is replaced. Repeated rows are predicted alike; an empty table gives an empty result.
+    ``score`` says which of the learned languages it is, not whether it is one of them: over a whole text it is next to 1
+    for any. ``fit`` does, whatever the length: the mean log-likelihood ratio of the text's n-grams between the language
+    and chance, which takes all buckets as equally likely, as a part of what the language's own texts have on average. It is
+    about 1 for text of the language, near 0 for random letters and negative for unknown scripts.
+
+    ``und`` with score and fit 0 for a null text, one without letters, or without a model. Other columns pass through;
+    ``names`` are those of the new columns, and an input column called so is replaced. Repeated rows are predicted alike;
+    an empty table gives an empty result.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sole_cache("langid", lambda: None)
         model = shared.value
         for texts in batches:
-            lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+            lang, score, fit = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.zeros(len(texts))
             todo, codes, size = [], [], 0
 
             def flush() -> None:
                 nonlocal size
-                points = scores_of(codes, model.logs) + model.prior
-                _settle(points)
+                _settle(scores_of(codes, model.logs), np.array([len(c) for c in codes]))
                 todo.clear()
                 codes.clear()
                 size = 0
 
-            def _settle(points: np.ndarray) -> None:
+            def _settle(likely: np.ndarray, n_codes: np.ndarray) -> None:
+                points = likely + model.prior
                 best = points.argmax(axis=1)
+                fit[todo] = (likely[np.arange(len(todo)), best] / (3 * n_codes) + math.log(1 << BITS)) / model.gain[best]
                 odds = np.exp(points - points.max(axis=1, keepdims=True)).sum(axis=1)
                 for i, b, o in zip(todo, best, odds, strict=True):
                     lang[i], score[i] = model.langs[b], min(1.0, 1.0 / o)
@@ -169,9 +180,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 if text is None or not (own := _codes(text)).any():
                     continue
                 if len(own) > CHUNK:
-                    total = sum(scores_of([p], model.logs) for p in _pieces(own)) + model.prior
+                    total = sum(scores_of([p], model.logs) for p in _pieces(own))
                     kept, todo[:] = todo[:], [i]
-                    _settle(total)
+                    _settle(total, np.array([len(own)]))
                     todo[:] = kept
                     continue
                 todo.append(i)
@@ -181,11 +192,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     flush()
             if todo:
                 flush()
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "fit": fit})
 
-    guess = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], guess(F.col(text_col)).alias("__guess")).select(
-        *[F.col(f"`{c}`") for c in keep], F.col("__guess.lang_pred").alias("lang_pred"), F.col("__guess.score").alias("score")
+    guess = F.pandas_udf(run, "lang_pred string, score double, fit double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], guess(F.col(f"`{text_col}`")).alias("__guess")).select(
+        *[F.col(f"`{c}`") for c in keep], *[F.col(f"__guess.{c}").alias(name) for c, name in zip(("lang_pred", "score", "fit"), names, strict=True)]
     )
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, having, read, release, rows_a_batch, sole_cache
+from .common import checkpointed, having, read, release, rows_a_batch, scope, sole_cache
 from .grouping import linked, shared_bands
 
 #: Signature: BANDS bands of ROWS values. A pair with similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     through sequential Bayesian pruning on signatures and an exact test on the full sets; large buckets of classes that
     are similar but not all linked are tested exactly in blocks.
     """
-    with rows_a_batch(docs.sparkSession, 512):
-        return _near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col, n, percent)
+    with rows_a_batch(docs.sparkSession, 512), scope(docs.sparkSession) as tables:
+        return tables.keep(_near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col, n, percent))
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, n: int, percent: int) -> DataFrame:

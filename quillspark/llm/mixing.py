@@ -82,17 +82,18 @@ def mix(
 def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", most: int = 1 << 18) -> DataFrame:
     """The documents of the mix: each as many times as ``plan`` takes it, counting a begun copy as a whole one.
 
-    ``plan`` has one row a document id; a document without words is not taken. A plan of up to ``most`` rows, counted
-    first, is broadcast.
+    ``plan`` has a row for each document, and a document without words is not taken. Of rows that repeat an id, each comes
+    as often as the one that is taken most. A plan of up to ``most`` rows, counted first, is broadcast.
     """
-    counts = checkpointed(plan.where("taken > 0").select(F.col(id_col).alias("__id"), F.expr("cast(ceil(taken / size) as int)").alias("__copies")))
+    counts = plan.where("taken > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max(F.expr("cast(ceil(taken / size) as int)")).alias("__copies"))
+    counts = checkpointed(counts)
     counts = F.broadcast(counts) if counts.count() <= most else counts
     joined = docs.join(counts, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 OP2_SQL = r"""
@@ -112,7 +113,7 @@ placed as (
          (sum(size) over (partition by r.sk order by key, doc_id, size rows between unbounded preceding and current row))::bigint - size as before
   from rows r join targets t using (sk)),
 cut as (select *, case when source_size > 0 then budget // source_size else 0 end as epochs from placed)
-select doc_id, source, size, source_size, target,
-       (size * epochs + greatest(0, least(size, budget - epochs * source_size - before)))::bigint as taken
+select doc_id, size, source_size, target,
+       (size * epochs + greatest(0, least(size, budget - epochs * source_size - before)))::bigint as taken, source
 from cut
 """
