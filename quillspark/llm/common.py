@@ -127,7 +127,7 @@ def having(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 1 << 18,
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
 
 
-def join_heavy(rows: DataFrame, table: DataFrame, on: str, count: str, heavy: int = 1000, most: int = 1 << 18) -> DataFrame:
+def join_heavy(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, heavy: int = 1000, most: int = 1 << 18) -> DataFrame:
     """``rows`` joined with ``table``, which has each value of ``on`` once and in ``count`` the number of rows that have it.
     Values in at least ``heavy`` rows are broadcast, so that no task gets all rows of one; up to ``most`` of them, counted
     first. The others, and beyond that all, are joined by shuffle."""

@@ -25,10 +25,11 @@ def _around(buckets: DataFrame, turn: int, close: Callable[[str, str], Column] |
     return met.select(F.least("node", centre).alias("a"), F.greatest("node", centre).alias("b")).distinct()
 
 
-def shared_bands(bands: DataFrame) -> DataFrame:
-    """The rows of (band, node, ...) whose bucket has several nodes, with their number ``n``."""
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return bands.join(sizes, "band")
+def shared_bands(bands: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """The rows of (band, node, ...) whose bucket has several nodes, with their number ``n``. Up to ``most`` such buckets,
+    counted first, are broadcast, so that the rows need no shuffle."""
+    sizes = checkpointed(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return bands.join(F.broadcast(sizes) if sizes.count() <= most else sizes, "band")
 
 
 def linked(
