@@ -23,15 +23,17 @@ def three_chain(blocks: DataFrame, certified: DataFrame) -> DataFrame:
     return own.join(child, "block").join(grand, "c").where("ch = height + 1 and gh = height + 2").select("block", "height").distinct()
 
 
-def finalized(blocks: DataFrame, committed: DataFrame) -> DataFrame:
+def finalized(blocks: DataFrame, committed: DataFrame, rounds: int = 64) -> DataFrame:
     """Committed blocks and all their ancestors, found by doubling: each round joins a block with the ancestor as far above
-    it as all rounds before reached, so a chain of n blocks takes about log2(n) joins."""
+    it as all rounds before reached, so a chain of n blocks takes about log2(n) joins. Parents that go in a circle raise an error."""
     reach = stored(committed.select("block").distinct())
     jump = stored(blocks.select("block", F.col("parent").alias("up")).where("up is not null"))
-    while not jump.isEmpty():
+    for _ in range(rounds):
+        if jump.isEmpty():
+            return reach
         reach = stored(reach.union(reach.join(jump, "block").select(F.col("up").alias("block"))).distinct())
         jump = stored(jump.join(jump.select(F.col("block").alias("up"), F.col("up").alias("up2")), "up").select("block", F.col("up2").alias("up")))
-    return reach
+    raise RuntimeError("the parents of some blocks go in a circle")
 
 
 def finality_status(blocks: DataFrame, certified: DataFrame, last_final: int) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def numbered(rows: DataFrame, coarse: Column, order: list, name: str = "seq") -> DataFrame:
@@ -18,31 +22,43 @@ def numbered(rows: DataFrame, coarse: Column, order: list, name: str = "seq") ->
 
 
 def accepted_nonces(tx: DataFrame, sender: str, order: list[str], nonce: str, initial: int = 0) -> DataFrame:
-    """Marks each transaction of a sender: ok if its nonce follows the last accepted one, else low or gap. A rejected one
-    does not advance the count, so this is a fold over the sender's transactions in order (bounded by one sender)."""
-    item = F.struct(*[F.col(c) for c in order], F.col(nonce).alias("__nonce"), F.struct(*[F.col(c) for c in tx.columns]).alias("__row"))
-    lists = tx.groupBy(sender).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    start = F.struct(F.lit(initial).cast("long").alias("current"), F.array().cast("array<string>").alias("verdicts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        following = x["__nonce"] == acc["current"] + 1
-        verdict = F.when(following, "ok").when(x["__nonce"] <= acc["current"], "nonce_low").otherwise("nonce_gap")
-        return F.struct(F.when(following, x["__nonce"]).otherwise(acc["current"]).cast("long").alias("current"), F.array_append(acc["verdicts"], verdict).alias("verdicts"))
-
-    verdicts = lists.select("__items", F.aggregate("__items", start, step)["verdicts"].alias("__verdicts"))
-    both = F.zip_with("__items", "__verdicts", lambda x, v: F.struct(x["__row"].alias("r"), v.alias("v")))
-    return verdicts.select(F.explode(both).alias("z")).select("z.r.*", F.col("z.v").alias("verdict"))
-
-
-def gaps(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """Marks each transaction of a sender: ok if its nonce follows the last accepted one, else nonce_low or nonce_gap. A
+    rejected one does not advance the count. Rows are dealt by sender, sorted, and streamed; what is kept between them is
+    the sender and one number, so a sender may have any number of rows. A null nonce is a gap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, current = object(), initial
+        for batch in batches:
+            verdicts = []
+            for who, claimed in zip(batch.column(sender).to_pylist(), batch.column(nonce).to_pylist(), strict=True):
+                if who != last:
+                    last, current = who, initial
+                if claimed == current + 1:
+                    current = claimed
+                    verdicts.append("ok")
+                else:
+                    verdicts.append("nonce_low" if claimed is not None and claimed <= current else "nonce_gap")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.string())], [*batch.schema.names, "verdict"])
+
+    schema = StructType([*tx.schema.fields, StructField("verdict", StringType())])
+    return tx.repartition(sender).sortWithinPartitions(sender, *order).mapInArrow(run, schema)
+
+
+def gaps(log: DataFrame, seq: str = "seq", width: int = 1 << 16) -> DataFrame:
     """Ranges of missing numbers: (after, before) for each break, and one from 0 if the log does not begin at 1. A number is
-    a break if its predecessor is absent, found by an equi-join, not by one global order."""
-    present = log.select(seq).distinct()
-    heads = present.join(present.select((F.col(seq) + 1).alias(seq)), seq, "left_anti").where(F.col(seq) > 1)
-    tails = present.join(present.select((F.col(seq) - 1).alias(seq)), seq, "left_anti").select(seq).union(present.sparkSession.range(1).select(F.lit(0).cast("long")))
-    ranges = heads.withColumn("kind", F.lit("head")).union(tails.withColumn("kind", F.lit("tail")))
-    previous = F.last(F.when(F.col("kind") == "tail", F.col(seq)), ignorenulls=True).over(Window.orderBy(seq, "kind").rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.withColumn("after", previous).where("kind = 'head'").select("after", F.col(seq).alias("before"))
+    a break if its neighbour is absent, found by an equi-join. The i-th number after a break belongs to the i-th before
+    one; both are numbered within ranges of ``width``, so nothing is sorted as a whole."""
+    present = log.select(F.col(seq).cast("long").alias("x")).where("x > 0").distinct()
+    zero = present.sparkSession.range(1).select(F.col("id").alias("x"))
+    heads = present.join(present.select((F.col("x") + 1).alias("x")).union(zero.select(F.col("x") + 1)), "x", "left_anti")
+    tails = present.union(zero).join(present.select((F.col("x") - 1).alias("x")), "x", "left_anti")
+    greatest = present.agg(F.max("x").alias("x"))
+    tails = tails.join(greatest, "x", "left_anti")
+
+    def places(rows: DataFrame, name: str) -> DataFrame:
+        return numbered(rows.select(F.col("x").alias(name)), F.floor(F.col(name) / width), [name], "__i")
+
+    return places(tails, "after").join(places(heads, "before"), "__i").select("after", "before")
 
 
 def raw_conflicts(accesses: DataFrame) -> DataFrame:

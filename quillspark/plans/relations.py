@@ -9,6 +9,8 @@ from ..functions.hashing import as_bytes, sha256_domain
 from ..operators.sequence import numbered
 
 TX = "TX:"
+#: The earlier of the two points in time whose states are compared: changes before it.
+EARLY = "1999-09-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +51,7 @@ ORDER = ["seq", "line", "supp", "price"]
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of the parts, writes of the suppliers and, for open lines, of the parts; blocks of 50 orders are one batch."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400")
+    l = table(spark, sf_dir, "lineitem")
     read = l.select(F.col("l_orderkey").alias("tx"), F.lit("R").alias("rw"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("key"))
     write = l.select(F.col("l_orderkey").alias("tx"), F.lit("W").alias("rw"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("key"))
     return read.union(write).distinct()
@@ -75,8 +77,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of blocks: the first thousand customers, block k on k - 1, but every 50th on k - 2."""
-    c = table(spark, sf_dir, "customer").where("c_custkey between 1 and 1000")
+    """A tree of blocks: the customers, block k on k - 1, but every 50th on k - 2."""
+    c = table(spark, sf_dir, "customer")
     parent = F.when(F.col("c_custkey") % 50 == 0, F.col("c_custkey") - 2).otherwise(F.col("c_custkey") - 1)
     return c.select(F.col("c_custkey").alias("block"), F.when(parent > 0, parent).alias("parent"), F.col("c_custkey").alias("height"), (F.col("c_acctbal") > 500).alias("certified"))
 
@@ -86,15 +88,15 @@ def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relations for DuckDB.
-CTE = """
+CTE = f"""
 tx as (select row_number() over (order by o_orderdate, o_orderkey) as seq, o_orderkey, o_custkey as sender, o_orderdate as ts, o_orderstatus as st, o_orderpriority as priority,
   cast(cast(o_totalprice as decimal(15,2)) as varchar) as payload, cast(round(o_totalprice * 100) as bigint) as cents, sha256('TX:' || o_orderkey) as tx_id,
   row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nonce from orders),
 receipts as (select seq, case when st = 'F' then 1 else 0 end as status from tx),
 changes as (select seq, ts, l_linenumber as line, l_suppkey as supp, l_extendedprice as price, 'part' as entity, l_partkey as key,
   case when l_returnflag = 'R' then 'delete' else 'set' end as op, cast(round(l_quantity * 100) as bigint) as value from lineitem join tx on l_orderkey = o_orderkey),
-accesses as (select distinct * from (select l_orderkey as tx, 'R' as rw, 'p' || l_partkey as key from lineitem where l_orderkey <= 400
-  union all select l_orderkey, 'W', case when l_linestatus = 'O' then 'p' || l_partkey else 's' || l_suppkey end from lineitem where l_orderkey <= 400)),
+accesses as (select distinct * from (select l_orderkey as tx, 'R' as rw, 'p' || l_partkey as key from lineitem
+  union all select l_orderkey, 'W', case when l_linestatus = 'O' then 'p' || l_partkey else 's' || l_suppkey end from lineitem)),
 conflicts as (select distinct r.tx from accesses r join (select key, min(tx) as fw from accesses where rw = 'W' group by key) w using (key) where rw = 'R' and fw < r.tx),
 validators as (select s_suppkey as id, s_suppkey % 10 + 1 as power from supplier),
 votes as (select distinct l_orderkey % 97 as block, l_suppkey as validator from lineitem),
@@ -102,9 +104,9 @@ days as (select cast(ts as date) as day, string_agg(tx_id, '' order by tx_id) as
 roots as (select day, n, sha256(ids) as root, row_number() over (order by day) - 1 as height from days),
 prevs as (select *, coalesce(lag(root) over (order by day), repeat('0', 64)) as before from roots),
 commits as (select height, day, n, root, case when height > 0 and height % 37 = 0 then reverse(before) else before end as prev_root from prevs),
-blocks as (select c_custkey as block, case when c_custkey = 1 then null when c_custkey % 50 = 0 then c_custkey - 2 else c_custkey - 1 end as parent, c_custkey as height, c_acctbal > 500 as certified
-  from customer where c_custkey between 1 and 1000),
+blocks as (select c_custkey as block, case when c_custkey <= 1 then null when c_custkey % 50 = 0 then c_custkey - 2 else c_custkey - 1 end as parent, c_custkey as height, c_acctbal > 500 as certified
+  from customer),
 emitted as (select event_id, ts, user_id, event_type as name, value, props from events),
 state as (select entity, key, value, seq as last_seq from (select *, row_number() over (partition by entity, key order by seq desc, line desc, supp desc, price desc) as rn from changes) where rn = 1 and op = 'set'),
-state_early as (select entity, key, value, seq as last_seq from (select *, row_number() over (partition by entity, key order by seq desc, line desc, supp desc, price desc) as rn from changes where seq % 10 < 7) where rn = 1 and op = 'set')
+state_early as (select entity, key, value, seq as last_seq from (select *, row_number() over (partition by entity, key order by seq desc, line desc, supp desc, price desc) as rn from changes where ts < timestamp '{EARLY}') where rn = 1 and op = 'set')
 """
