@@ -24,103 +24,136 @@ def usable(vector: str) -> Column:
     return F.expr(f"coalesce(size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0), false)")
 
 
-def _neighbours(vectors: np.ndarray, degree: int) -> np.ndarray:
-    """For each vector ``degree`` neighbours (-1 where there are fewer): half of them its nearest, half spread out, being
-    nearer to it than to one taken before; then edges are made mutual while there is room for as many again."""
-    n = len(vectors)
-    many = min(n - 1, 3 * degree)
-    out = np.full((n, 2 * degree), -1, np.int32)
-    if many <= 0:
-        return out
-    sims_to = np.full((n, degree), -2, np.float32)
-    for begin in range(0, n, TOGETHER):
-        part = vectors[begin : begin + TOGETHER]
-        sims = part @ vectors.T
-        sims[np.arange(len(part)), np.arange(begin, begin + len(part))] = -2
-        near = np.argpartition(-sims, many - 1, axis=1)[:, :many]
-        order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
-        own = np.take_along_axis(sims, near, 1)
-        cross = np.einsum("qad,qbd->qab", vectors[near], vectors[near])
-        taken = np.zeros((len(part), many), bool)
-        for k in range(many):
-            spread = ~(taken & (cross[:, k, :] >= own[:, k, None])).any(axis=1)
-            taken[:, k] = (k < degree // 2) | (spread & (taken.sum(axis=1) < degree))
-        rank = np.argsort(~taken, axis=1, kind="stable")[:, :degree]  # those taken, then the nearest of the rest
-        width = rank.shape[1]
-        out[begin : begin + len(part), :width] = np.take_along_axis(near, rank, 1)
-        sims_to[begin : begin + len(part), :width] = np.take_along_axis(own, rank, 1)
-    source, column = np.nonzero(out[:, :degree] >= 0)
-    target, sim = out[source, column], sims_to[source, column]
-    order = np.lexsort((-sim, target))
-    source, target = source[order], target[order]
-    nth = np.arange(len(target)) - np.searchsorted(target, target)
-    fits = nth < degree
-    out[target[fits], degree + nth[fits]] = source[fits]
-    return out
+def _diverse(near: np.ndarray, own: np.ndarray, vectors: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's candidates, nearest first (-1 where there are none), ``degree`` to link with: half of them the nearest, half spread out,
+    being nearer to the row than to one taken before."""
+    cross = np.einsum("qad,qbd->qab", vectors[near], vectors[near])
+    valid = near >= 0
+    taken = np.zeros(near.shape, bool)
+    for k in range(near.shape[1]):
+        spread = ~(taken & (cross[:, k, :] >= own[:, k, None])).any(axis=1)
+        taken[:, k] = valid[:, k] & ((k < degree // 2) | (spread & (taken.sum(axis=1) < degree)))
+    rank = np.argsort(2 * ~valid + ~taken, axis=1, kind="stable")[:, :degree]  # those taken, then the nearest of the rest
+    return np.take_along_axis(near, rank, 1), np.take_along_axis(own, rank, 1)
+
+
+def _beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, at: np.ndarray, best: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of one layer from the node ``at`` of each query, with cosine ``best``: the ``beam`` nearest found."""
+    rows = np.arange(len(queries))[:, None]
+    seen = np.zeros((len(queries), len(links)), bool)
+    seen[rows[:, 0], at] = True
+    ids, sims = np.full((len(queries), beam), -1), np.full((len(queries), beam), -2, np.float32)
+    ids[:, 0], sims[:, 0] = at, best
+    done = np.zeros((len(queries), beam), bool)
+    while True:
+        open_ = np.where(done | (ids < 0), -2, sims)
+        pick = np.argsort(-open_, axis=1, kind="stable")[:, :EXPAND]
+        live = np.take_along_axis(open_, pick, 1) > -2
+        busy = np.flatnonzero(live.any(axis=1))
+        if not len(busy):
+            return ids, sims
+        pick, live = pick[busy], live[busy]
+        done[busy[:, None], pick] |= live
+        around = np.where(live[:, :, None], links[ids[busy[:, None], pick]], -1).reshape(len(busy), -1)
+        around = np.sort(around, axis=1)
+        fresh = (around >= 0) & ~seen[busy[:, None], around]
+        fresh[:, 1:] &= around[:, 1:] != around[:, :-1]
+        value = np.where(fresh, np.einsum("qd,qkd->qk", queries[busy], vectors[around]), -2)
+        q, k = np.nonzero(fresh)
+        seen[busy[q], around[q, k]] = True
+        all_ids = np.concatenate((ids[busy], np.where(fresh, around, -1)), axis=1)
+        all_sims = np.concatenate((sims[busy], value), axis=1)
+        all_done = np.concatenate((done[busy], np.zeros_like(fresh)), axis=1)
+        keep = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+        ids[busy], sims[busy], done[busy] = (np.take_along_axis(x, keep, 1) for x in (all_ids, all_sims, all_done))
 
 
 class Graph:
-    """Layers of one shard's vectors (unit length, float32), from the highest; the last has all of them."""
+    """Layers of one shard's vectors (unit length, float32), from the highest; the last has all of them.
+
+    A layer is built by inserting its nodes, some at a time: each searches what the layer holds so far, entering from the
+    layer above, and links with a spread-out choice of what it finds and of those inserted with it; links are made
+    mutual, and a full node keeps the nearer ones.
+    """
 
     def __init__(self, vectors: np.ndarray, keys: np.ndarray):
         self.vectors = vectors
         chance = (pd.util.hash_array(keys) >> np.uint64(11)) / float(1 << 53)
         height = np.floor(-np.log(np.maximum(chance, 1e-300)) / math.log(DEGREE)).astype(int)
-        self.layers = []
+        self.layers: list[tuple[np.ndarray, np.ndarray]] = []
         for level in range(int(height.max(initial=0)), -1, -1):
             nodes = np.flatnonzero(height >= level)
             if level and len(nodes) < 2:
                 continue
-            links = _neighbours(vectors[nodes], DEGREE)
-            self.layers.append((nodes, np.where(links >= 0, nodes[links], -1)))
+            # nodes of the layer above come first: they are where searches enter
+            nodes = nodes[np.argsort(-height[nodes], kind="stable")]
+            links = self._insert(nodes)
+            whole = np.full((len(vectors), links.shape[1]), -1, np.int32)
+            whole[nodes] = np.where(links >= 0, nodes[links], -1)
+            self.layers.append((nodes, whole))
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Node numbers and cosines of the ``beam`` nearest found for each query; -1 and -2 fill up."""
-        vectors, n = self.vectors, len(self.vectors)
-        top = self.layers[0][0][: 4 * DEGREE]
+    def _insert(self, nodes: np.ndarray) -> np.ndarray:
+        """Links between positions in ``nodes``: own choices, then those of others."""
+        part, n = self.vectors[nodes], len(nodes)
+        links, sims_to = np.full((n, 2 * DEGREE), -1, np.int32), np.full((n, 2 * DEGREE), -2, np.float32)
+        place = np.full(len(self.vectors), -1)
+        place[nodes] = np.arange(n)
+        inside = 0
+        while inside < n:
+            new = np.arange(inside, min(n, inside + min(max(inside, 2 * DEGREE), TOGETHER)))
+            own = part[new] @ part[new].T
+            own[np.arange(len(new)), np.arange(len(new))] = -2
+            ids, sims = np.broadcast_to(new, own.shape), own
+            if inside:
+                at, best = self._enter(part[new], place, inside) if self.layers else (np.zeros(len(new), int), part[new] @ part[0])
+                found, near = _beam(part, links[:inside], part[new], at, best, BEAM)
+                ids, sims = np.concatenate((ids, found), axis=1), np.concatenate((sims, near), axis=1)
+            many = min(3 * DEGREE, ids.shape[1])
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :many]
+            ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+            ids = np.where(sims > -2, ids, -1)
+            chosen, value = _diverse(ids, sims, part, DEGREE)
+            width = chosen.shape[1]
+            links[new, :width], sims_to[new, :width] = chosen, np.where(chosen >= 0, value, -2)
+            for source, targets, values in zip(new, chosen, value, strict=True):
+                for target, sim in zip(targets, values, strict=True):
+                    if target >= 0:
+                        slot = DEGREE + int(sims_to[target, DEGREE:].argmin())
+                        if sims_to[target, slot] < sim:
+                            links[target, slot], sims_to[target, slot] = source, sim
+            inside = int(new[-1]) + 1
+        return links
+
+    def _enter(self, queries: np.ndarray, place: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the place of the node at which a greedy walk through the layers built so far ends."""
+        at, best = self._descend(queries, self.layers)
+        spot = place[at]
+        late = spot >= inside  # not inserted yet
+        first = queries @ self.vectors[np.flatnonzero(place == 0)[0]]
+        return np.where(late, 0, spot), np.where(late, first, best)
+
+    def _descend(self, queries: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy walk through ``layers``: the node reached and its cosine."""
+        vectors = self.vectors
+        top = (layers or self.layers)[0][0][: 4 * DEGREE]
         at = top[(queries @ vectors[top].T).argmax(axis=1)]
         best = np.einsum("qd,qd->q", queries, vectors[at])
-        place = np.full(n, -1)
-        for nodes, links in self.layers[:-1]:
-            place[nodes] = np.arange(len(nodes))
+        for _, links in layers:
             moving = np.arange(len(queries))
             while len(moving):
-                around = links[place[at[moving]]]
+                around = links[at[moving]]
                 sims = np.where(around >= 0, np.einsum("qd,qkd->qk", queries[moving], vectors[around]), -2)
                 k = sims.argmax(axis=1)
                 value = sims[np.arange(len(moving)), k]
                 better = value > best[moving]
                 at[moving[better]], best[moving[better]] = around[better, k[better]], value[better]
                 moving = moving[better]
-        links = self.layers[-1][1]
-        rows = np.arange(len(queries))[:, None]
-        seen = np.zeros((len(queries), n), bool)
-        seen[rows[:, 0], at] = True
-        ids, sims = np.full((len(queries), beam), -1), np.full((len(queries), beam), -2, np.float32)
-        ids[:, 0], sims[:, 0] = at, best
-        done = np.zeros((len(queries), beam), bool)
-        while True:
-            open_ = np.where(done | (ids < 0), -2, sims)
-            pick = np.argsort(-open_, axis=1, kind="stable")[:, :EXPAND]
-            live = np.take_along_axis(open_, pick, 1) > -2
-            busy = np.flatnonzero(live.any(axis=1))
-            if not len(busy):
-                return ids, sims
-            pick, live = pick[busy], live[busy]
-            done[busy[:, None], pick] |= live
-            around = np.where(live[:, :, None], links[ids[busy[:, None], pick]], -1).reshape(len(busy), -1)
-            around = np.sort(around, axis=1)
-            fresh = (around >= 0) & ~seen[busy[:, None], around]
-            fresh[:, 1:] &= around[:, 1:] != around[:, :-1]
-            value = np.where(fresh, np.einsum("qd,qkd->qk", queries[busy], vectors[around]), -2)
-            q, k = np.nonzero(fresh)
-            seen[busy[q], around[q, k]] = True
-            all_ids = np.concatenate((ids[busy], np.where(fresh, around, -1)), axis=1)
-            all_sims = np.concatenate((sims[busy], value), axis=1)
-            all_done = np.concatenate((done[busy], np.zeros_like(fresh)), axis=1)
-            keep = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-            ids[busy], sims[busy], done[busy] = (np.take_along_axis(x, keep, 1) for x in (all_ids, all_sims, all_done))
+        return at, best
+
+    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Node numbers and cosines of the ``beam`` nearest found for each query; -1 and -2 fill up."""
+        at, best = self._descend(queries, self.layers[:-1])
+        return _beam(self.vectors, self.layers[-1][1], queries, at, best, beam)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,13 +170,13 @@ def links_of(graph: Graph, members: np.ndarray, queries: np.ndarray, query_keys:
     """Yields (query numbers, node numbers) of the pairs with cosine >= threshold that the graph finds, confirmed in double
     precision, until the recall audit passes: the audited queries' links are counted by a full scan, and if too few were
     found, the beam becomes WIDEN times as wide. A query whose beam holds nothing but links gets a wider one in any case;
-    once a beam would hold a 16th of the shard, which costs more than reading it all, the query reads it all."""
+    once a wider beam would hold a 16th of the shard, which costs more than reading it all, the query reads it all."""
     slack, n = threshold - 1e-4, len(members)
     audit = np.flatnonzero(pd.util.hash_array(query_keys) % AUDIT == 0)
     true = np.concatenate([(queries[audit[i : i + TOGETHER]] @ members.T >= threshold).sum(axis=1) for i in range(0, len(audit), TOGETHER)] or [np.zeros(0, int)])
     beam, left = BEAM, np.arange(len(queries))
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    while len(left) and 16 * beam < n:
+    while len(left) and (16 * beam < n or (beam == BEAM and n > BEAM)):
         full, audited = [], 0
         for i in range(0, len(left), TOGETHER):
             part = left[i : i + TOGETHER]
