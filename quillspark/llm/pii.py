@@ -56,24 +56,27 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def _number(kind: str, start: int = 0) -> Callable[[str, bytes], str | None]:
-    """Permutes all digits from the ``start``-th on."""
-
-    def swap(found: str, key: bytes) -> str:
-        digits = _digits(found)
-        head, tail = digits[:start], digits[start:]
-        return _fill(found, head + str(permute(int(tail), 10 ** len(tail), key, f"{kind}:{head}")).zfill(len(tail)))
-
-    return swap
+def _phone(found: str, key: bytes) -> str | None:
+    """Numbers of 8 to 15 digits, however they are parted. Of +1 numbers and those written without a country, the last ten
+    digits are permuted, so that both spellings stay linked; of others all but the first two."""
+    digits = _digits(found)
+    if not 8 <= len(digits) <= 15:
+        return None
+    national = digits[-10:] if len(digits) == 10 or (len(digits) == 11 and digits[0] == "1") else digits[2:]
+    head = digits[: len(digits) - len(national)]
+    scope = "1" if len(national) == 10 and head in ("", "1") else head
+    other = str(permute(int(national), 10 ** len(national), key, f"phone:{scope}:{len(national)}")).zfill(len(national))
+    return _fill(found, head + other)
 
 
-def _card(found: str, key: bytes) -> str:
-    """Payment-card-like numbers of 13 to 19 digits. One that passes the Luhn test gets one that passes; another number
-    of that form one that fails it by as much."""
+def _card(found: str, key: bytes) -> str | None:
+    """Payment-card numbers: 13 to 19 digits that pass the Luhn test get others that pass. Other numbers stay."""
     digits = _digits(found)
-    payload, off = digits[:-1], (int(digits[-1]) - int(luhn_digit(digits[:-1]))) % 10
+    payload = digits[:-1]
+    if digits[-1] != luhn_digit(payload):
+        return None
     other = str(permute(int(payload), 10 ** len(payload), key, f"card:{len(payload)}")).zfill(len(payload))
-    return _fill(found, other + str((int(luhn_digit(other)) + off) % 10))
+    return _fill(found, other + luhn_digit(other))
 
 
 def _iban(found: str, key: bytes) -> str | None:
@@ -96,6 +99,12 @@ def _address(found: str, key: bytes) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _address6(found: str, key: bytes) -> str:
+    """IPv6 addresses written with all eight groups."""
+    value = permute(int("".join(g.zfill(4) for g in found.split(":")), 16), 1 << 128, key, "ipv6")
+    return ":".join(f"{value:032x}"[i : i + 4] for i in range(0, 32, 4))
+
+
 _FIRST = datetime.date(1900, 1, 1)
 _DAYS = (datetime.date(2100, 1, 1) - _FIRST).days
 
@@ -169,12 +178,14 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
     ("secret", r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", _secret),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
-    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])", lambda x, k: _number("phone", len(x[1:].split("(")[0].split(" ")[0]))(x, k)),
-    ("phone", r"(?<![0-9A-Za-z(])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])", _number("phone")),
+    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])", _phone),
+    ("phone", r"(?<![0-9A-Za-z(])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])", _phone),
     ("date", r"(?<![0-9A-Za-z.-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9A-Za-z-])", _date("ymd")),
     ("date", r"(?<![0-9A-Za-z.-])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])", _date("dmy")),
+    ("date", r"(?<![0-9A-Za-z.-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z-])", _date("mdy")),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn),
     ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", _address),
+    ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])", _address6),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", _card),
 ]
 NAMES = list(dict.fromkeys(name for name, _, _ in KINDS))
@@ -200,15 +211,15 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int,
     if not _MAY.search(text):
         return text, []
     spans: list[tuple[str, int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     for at, (name, pattern, _) in enumerate(_patterns()):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            if taken.find(1, m.start(), m.end()) >= 0:
                 continue
             other = _pseudonym(at, m[0], key)
             if other is not None:
                 spans.append((name, m.start(), m.end(), m[0], other))
-        taken = [(a, b) for _, a, b, _, _ in spans]
+                taken[m.start() : m.end()] = bytes((1,)) * (m.end() - m.start())
     spans.sort(key=lambda x: x[1])
     out, last = [], 0
     for _, begin, end, _, other in spans:
