@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -146,36 +147,21 @@ class Transducer:
         return out
 
 
-def utf8_tail(data: bytes) -> int:
-    """Length of the unfinished UTF-8 sequence at the end of ``data``: 0 to 3."""
-    for back in range(1, min(3, len(data)) + 1):
-        byte = data[-back]
-        if byte >= 0xC0:
-            need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-            return back if back < need else 0
-        if byte < 0x80:
-            return 0
-    return 0
-
-
 class Decoder:
     """Streaming decoder: tokens in any portions to text, never splitting a character.
 
-    Holds at most three bytes between portions. Bytes that are no UTF-8 become U+FFFD.
+    An incremental UTF-8 machine keeps its state between portions: the one to three bytes of a character begun. Bytes that
+    are no UTF-8 become U+FFFD.
     """
 
     def __init__(self, token_of: list[bytes]):
-        self.token_of, self.held = token_of, b""
+        self.token_of, self.machine = token_of, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.held + b"".join([self.token_of[i] for i in ids])
-        cut = len(data) - utf8_tail(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return self.machine.decode(b"".join([self.token_of[i] for i in ids]))
 
     def close(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        return self.machine.decode(b"", final=True)
 
 
 class Codec:
