@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import random
 
 import duckdb
@@ -114,6 +115,46 @@ def test_near_lines_against_edit_counts(spark):
     assert {x.doc_id for x in lines.deduplicate_lines(docs).where("n_removed > 0").collect()} == want
 
 
+def test_lines_as_in_op1_against_brute_force(spark):
+    """Lines removed with the parameters of op1 from whole documents, against all pairs of lines."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = lines._normalised(lines._split_lines(docs.withColumnRenamed("doc_id", "id"))).select("norm").distinct()
+    norms = sorted(x.norm for x in rows.collect())
+    table = spark.createDataFrame(list(enumerate(norms)), "i long, t string").repartition(16)
+    pairs = table.selectExpr("i a", "t ta", "length(t) la").crossJoin(table.selectExpr("i b", "t tb", "length(t) lb")).where("a < b and abs(la - lb) * 100 <= greatest(la, lb) * 20")
+    near = pairs.where("levenshtein(ta, tb, cast(floor(greatest(la, lb) * 0.2) as int)) >= 0").select("a", "b").collect()
+    parent = list(range(len(norms)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in near:
+        a, b = find(x.a), find(x.b)
+        parent[max(a, b)] = min(a, b)
+    group = {t: find(i) for i, t in enumerate(norms)}
+    counts = collections.Counter(group[x.norm] for x in lines._normalised(lines._split_lines(docs.withColumnRenamed("doc_id", "id"))).select("norm").collect())
+    want = sum(n - 1 for n in counts.values())
+    got = lines.deduplicate_lines(docs, taken=lines.TAKEN, shared=lines.SHARED, least_bytes=lines.LEAST_BYTES).agg(F.sum("n_removed")).first()[0]
+    assert len(near) > 5 and 0.98 * want <= got <= want
+
+
+def test_edit_similar_is_exact(spark):
+    r, rows = random.Random(5), []
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 6)))
+    for _ in range(1500):
+        a = [word() for _ in range(r.randint(1, 14))]
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(b)) if b else 0
+            b[k : k + r.randint(0, 1)] = [word()] * r.randint(0, 1)
+        rows.append((len(rows), " ".join(a), " ".join(b) or "a"))
+    d = spark.createDataFrame(rows, "i long, a string, b string")
+    want = {x.i for x in d.where("levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.2)").collect()}
+    assert want and {x.i for x in lines.edit_similar(d, "a", "b", 80).collect()} == want
+
+
 def test_lines_alike_but_for_punctuation(spark):
     rows = [(1, "und aebe.\nx"), (2, "und | aebe.\r\ny"), (3, "und###\taebe!!"), (4, "-----\n\r\n\t"), (5, "-----\r\n\r\n\t"), (None, "\u0915\u093f \u0916\nonly here, once again"), (None, "\u0915\u0940 \u0916"), (7, "only here, once agair")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -145,13 +186,37 @@ def test_repeated(spark):
     assert mixing.repeated(docs, plan).count() == want
 
 
+def plain_longest_first(sizes, n):
+    """Every group by itself through a heap: loads of the shards, and for each size how many a shard gets."""
+    heap, dealt, loads = [(0, i) for i in range(n)], {}, [0] * n
+    for size in sorted(sizes, reverse=True):
+        load, i = heapq.heappop(heap)
+        dealt.setdefault(size, [0] * n)[i] += 1
+        loads[i] = load + size
+        heapq.heappush(heap, (load + size, i))
+    return loads, dealt
+
+
 def test_longest_first():
-    sizes = [(i, s) for i, s in enumerate([9, 7, 6, 5, 5, 4, 3, 1])]
-    dealt = sharding.longest_first(sizes, 3)
-    loads = collections.Counter()
-    for i, s in sizes:
-        loads[dealt[i]] += s
-    assert max(loads.values()) <= 14 and sum(loads.values()) == 40
+    r = random.Random(2)
+    for turn in range(150):
+        n = r.choice([1, 2, 3, 5, 16])
+        counts = [(size, r.choice([1, 2, 7, 50, 500, 2000])) for size in r.sample(range(1, 200 if turn % 2 else 5000), r.randint(1, 30))]
+        assert dict(sharding.longest_first(counts, n)) == plain_longest_first([size for size, c in counts for _ in range(c)], n)[1]
+    assert sharding.longest_first([], 3) == []
+
+
+def test_shards_against_plain(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PLENTY", 20)
+    texts = ["x" * (i % 40) + str(i % 300) for i in range(900)] + ["hot " * 4000] * 5 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    loads = [0] * 8
+    for row in sharding.shard_documents(docs, n_shards=8).collect():
+        loads[row.shard] += row["size"]
+    groups = collections.Counter()
+    for t in texts:
+        groups[t or ""] += len((t or "").encode()) + 1
+    assert loads == plain_longest_first(list(groups.values()), 8)[0]  # one group is far above a fair share
 
 
 def test_shards(spark, edge, none):
@@ -277,6 +342,41 @@ def test_language(spark, edge, none):
     assert {r.lang_pred for r in langid.predict(edge, None).collect()} == {"und"} and langid.predict(none, model).count() == 0
 
 
+def test_language_against_plain_bayes(spark):
+    """Scores and fit, counted with dictionaries."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").where("lang is not null")
+    model = langid.train(docs, "text", "lang", "doc_id", F.lit(True))
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r.lang].append(r.text)
+    grams = lambda t: [int(g) for part in langid._grams(langid._codes(t)) for g in part]
+    counts = {lang: collections.Counter(g for t in own for g in grams("\n".join([t]))) for lang, own in texts.items()}
+    n_docs = sum(map(len, texts.values()))
+
+    def points(text):
+        out = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.1 * 65536
+            out[lang] = np.log(len(texts[lang]) / n_docs) + sum(np.log((c[g] + 0.1) / total) for g in grams(text))
+        return out
+
+    asked = docs.where("length(text) < 600").limit(25)
+    for r in langid.predict(asked, model).collect():
+        p = points(r.text)
+        assert r.lang_pred == max(p, key=p.get)
+        assert abs(r.score - 1 / sum(np.exp(v - max(p.values())) for v in p.values())) < 1e-3
+
+
+def test_fit_tells_language_from_noise(spark):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    model = langid.train(docs, "text", "lang", "doc_id", F.lit(True))
+    r = random.Random(1)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (10, 30, 100, 300) for _ in range(30)] + ["Это обычное русское предложение", "日本語の文章です"]
+    out = langid.predict(spark.createDataFrame([(t,) for t in noise], "text string"), model)
+    assert out.where("fit >= 0.5").count() == 0
+    assert langid.predict(docs, model).where("fit < 0.5").count() == 0
+
+
 # ---- BPE
 
 
@@ -365,6 +465,43 @@ def test_nearest(spark):
     assert nndescent.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_graph_of_a_large_label(monkeypatch):
+    """Thousands of vectors of one label: the graph is searched, beams widen, and the links are those of a full scan."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(5000, 32))
+    for c in range(30):
+        x[c * 100 : c * 100 + 100] = x[c * 100] + 0.1 * r.normal(size=(100, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, beams, plain = hnsw.Graph(x.astype(np.float32), np.arange(5000)), [], hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, q, beam: beams.append(beam) or plain(self, q, beam))
+    found = {(int(a), int(b)) for q, node in hnsw.links_of(graph, x, x, np.arange(5000), 0.9) for a, b in zip(q, node, strict=True)}
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True)}
+    assert found <= want and len(found) >= 0.999 * len(want) and hnsw.BEAM in beams and max(beams) > hnsw.BEAM
+
+
+def test_nearest_among_copies(spark):
+    """Recall against brute force with a large group of equal vectors, one of near copies, and very large components."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2000, 16))
+    x[::5] = x[0]
+    x[1001:1400:2] = x[1] + 0.002 * r.normal(size=(200, 16))
+    x[100] *= 1e200
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for row in nndescent.nearest(d, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        assert np.isfinite(row.score)
+        got[row.query_id].append(row.vec_id)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        sims = np.round(unit @ unit[q], 12)
+        sims[q] = -9
+        hits += len(set(got[q]) & set(np.lexsort((np.arange(2000), -sims))[:5].tolist()))
+    assert hits >= 0.95 * 200
+    assert got[50] == [0, 5, 10, 15, 20]
+
+
 # ---- personal data
 
 
@@ -384,6 +521,13 @@ def test_formats(spark, edge, none):
     iban = next(s[4] for s in spans if s[0] == "iban").replace(" ", "")
     assert pii._mod97(iban[4:] + iban[:4]) == 1
     assert pii.pseudonymise("4111111111111111", key)[0] == card  # linked across documents and spellings
+    for text in ("order 1700000000000", "at 20240131123456", "4111 1111 1111 1112"):  # not valid as cards
+        assert pii.pseudonymise(text, key) == (text, [])
+    same = ["415-555-1234", "+1 415-555-1234", "(415) 555-1234", "+1 415.555.1234"]
+    assert len({"".join(c for c in pii.pseudonymise(t, key)[0] if c.isdigit())[-10:] for t in same}) == 1
+    assert pii.pseudonymise("on 03/25/2024", key)[1][0][0] == "date" and pii.pseudonymise("2001:db8:0:0:0:0:0:1", key)[1][0][0] == "ip"
+    cards = [p + pii.luhn_digit(p) for p in (f"{i:015d}" for i in range(4 * 10**14, 4 * 10**14 + 200))]
+    assert len({pii.pseudonymise(c, key)[0] for c in cards}) == 200  # a permutation: no two alike
     assert pii.pseudonymise("nothing here", key) == ("nothing here", [])
     rows = {r.doc_id: r for r in pii.pseudonymise_documents(edge, key).collect()}
     assert rows[1].text is None and rows[3].text == "!!! 123" and pii.pseudonymise_documents(none, key).count() == 0
@@ -406,3 +550,28 @@ def test_pipeline(spark, edge, none):
         assert stage(spark, empty, SMALL).count() == 0
     lang = corpus_pipeline.language(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
     assert lang.count() >= 0.99 * spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_pipeline_edges(spark):
+    """Nulls, empty, letterless and noise texts, repeated rows and ids, and columns called as those used inside."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 200").orderBy("doc_id").limit(60)
+    first = base.first()
+    r = random.Random(1)
+    odd = [(900, None, None, None, None), (901, "", "en", "a", 0), (902, "!!! 123", "en", "a", 7), (903, "".join(r.choice("qxzjkvwpbg") for _ in range(200)), None, "a", 200), (904, first.text, "en", None, len(first.text)), (904, first.text, "en", None, len(first.text))]
+    docs = base.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.select("*", *[(F.col("doc_id") + 0.5).alias(c) for c in ("score", "fit", "n_removed", "n_lines", "id", "version", "kept", "size")])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name == "byte_bpe":
+            break
+        assert out.columns == columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.where("score <> doc_id + 0.5 or fit <> doc_id + 0.5 or n_removed <> doc_id + 0.5 or n_lines <> doc_id + 0.5").count() == 0, name
+        ids = [x.doc_id for x in docs.select("doc_id").collect()]
+        assert not {900, 901, 902, 903} & set(ids) and ids, name
+        if name == "line_dedup":
+            assert 904 not in ids  # all its lines stand in an earlier document
+    assert out.count() == docs.count()
