@@ -107,41 +107,54 @@ def _trie(items: list[tuple[bytes, bytes]], depth: int, zero: bytes) -> _Node:
     return _Node(first[depth:at], None, children)
 
 
-def trie_root(state: DataFrame, key_hash: str, value_hash: str, empty: str, shard_nibbles: int = 2) -> DataFrame:
+def trie_root(state: DataFrame, key_hash: str, value_hash: str, empty: str, keys_a_group: int = 50_000) -> DataFrame:
     """One row (root): the commitment of a 16-ary path-compressed trie over 32-byte hex keys and hex value hashes. A leaf is
     H(00 || rest of the path || value hash), an extension H(01 || path || child), a branch H(01 || 16 children), nibbles
     one byte each, absent children 32 zero bytes. It depends on the final set of keys alone.
 
-    Keys are grouped by their first nibbles; each group returns its node unhashed (compression may cross the groups'
-    border), and at most 16**shard_nibbles nodes are joined at the end.
+    Keys are grouped by as many first nibbles as bring a group to about ``keys_a_group``. Each group returns its node
+    unhashed, as compression may cross the groups' border, and 16 nodes at a time are joined to the one above, a nibble
+    a round.
     """
     zero = bytes(32)
+    schema = "prefix string, path binary, value binary, children binary"
 
     def nib(text: str) -> bytes:
         return bytes(int(c, 16) for c in text)
 
-    def shard(group: pd.DataFrame) -> pd.DataFrame:
+    def row(prefix: str, node: _Node) -> pd.DataFrame:
+        return pd.DataFrame({"prefix": [prefix], "path": [node.path], "value": [node.value], "children": [b"".join(c or zero for c in node.children) if node.children else None]})
+
+    def group_node(group: pd.DataFrame) -> pd.DataFrame:
         items = sorted((nib(k), bytes.fromhex(v)) for k, v in zip(group["k"], group["v"], strict=True))
-        node = _trie(items, shard_nibbles, zero)
-        return pd.DataFrame({"prefix": [group["p"].iloc[0]], "path": [node.path], "value": [node.value], "children": [b"".join(c or zero for c in node.children) if node.children else None]})
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes = {nib(p): _Node(path, value, None if c is None else [c[i : i + 32] for i in range(0, 512, 32)]) for b in batches for p, path, value, c in zip(b["prefix"], b["path"], b["value"], b["children"], strict=True)}
-        for depth in range(shard_nibbles - 1, -1, -1):
-            above: dict[bytes, list[tuple[int, _Node]]] = {}
-            for prefix, node in nodes.items():
-                above.setdefault(prefix[:-1], []).append((prefix[-1], node))
-            nodes = {}
-            for prefix, below in above.items():
-                if len(below) == 1:
-                    n, node = below[0]
-                    nodes[prefix] = _Node(bytes([n]) + node.path, node.value, node.children)
-                else:
-                    children: list[bytes] = [b""] * 16
-                    for n, node in below:
-                        children[n] = node.digest(zero)
-                    nodes[prefix] = _Node(b"", None, children)
-        yield pd.DataFrame({"root": [nodes[b""].digest(zero).hex() if nodes else empty]})
-
-    rows = state.select(F.col(key_hash).alias("k"), F.col(value_hash).alias("v"), F.substring(key_hash, 1, shard_nibbles).alias("p"))
-    return rows.groupBy("p").applyInPandas(shard, "prefix string, path binary, value binary, children binary").coalesce(1).mapInPandas(join, "root string")
+        prefix = group["prefix"].iloc[0]
+        return row(prefix, _trie(items, len(prefix), zero))
+
+    def joined(nodes: pd.DataFrame) -> _Node:
+        below = [(int(p[-1], 16), _Node(path, value, None if c is None else [c[i : i + 32] for i in range(0, 512, 32)])) for p, path, value, c in zip(nodes["prefix"], nodes["path"], nodes["value"], nodes["children"], strict=True)]
+        if len(below) == 1:
+            n, node = below[0]
+            return _Node(bytes([n]) + node.path, node.value, node.children)
+        children: list[bytes] = [b""] * 16
+        for n, node in below:
+            children[n] = node.digest(zero)
+        return _Node(b"", None, children)
+
+    def up(nodes: pd.DataFrame) -> pd.DataFrame:
+        return row(nodes["prefix"].iloc[0][:-1], joined(nodes))
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes = [b for b in batches if len(b)]  # 16 rows at most
+        if nodes:
+            yield pd.DataFrame({"root": [joined(pd.concat(nodes)).digest(zero).hex()]})
+
+    rows = stored(state.select(F.col(key_hash).alias("k"), F.col(value_hash).alias("v")))
+    n, nibbles = rows.count(), 1
+    if not n:
+        return state.sparkSession.createDataFrame([(empty,)], "root string")
+    while n > keys_a_group * 16**nibbles:
+        nibbles += 1
+    nodes = rows.withColumn("prefix", F.substring("k", 1, nibbles)).groupBy("prefix").applyInPandas(group_node, schema)
+    for depth in range(nibbles - 1, 0, -1):
+        nodes = nodes.groupBy(F.substring("prefix", 1, depth)).applyInPandas(up, schema)
+    return nodes.coalesce(1).mapInPandas(top, "root string")
