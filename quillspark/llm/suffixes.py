@@ -17,6 +17,8 @@ from .common import checkpointed, delete_folder, having, read, release, rows_a_b
 WINDOW, HEAD = 200, 40
 #: Windows tested together before they are tested one by one.
 STEP = 8
+#: Runs in so many places are joined by broadcast, up to so many runs.
+OFTEN, MOST_OFTEN = 1000, 1 << 18
 _SPAN = WINDOW - HEAD + 1
 _SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -290,8 +292,16 @@ def repeated_spans(docs: DataFrame, batches: int = 4, keep_bytes: bool = True) -
         return texts.join(lists, ["t1", "t2", "rep"]).select("t1", "t2", "text", "listed")
 
     # runs of windows whose bytes stand elsewhere as a whole are settled; one of each kind stays as a witness for others
-    kinds = suffixes.groupBy("run").agg(F.min("x").alias("least"), F.max("x").alias("most"))
-    suffixes = table(suffixes.join(kinds, "run").select("head", "t1", "t2", "place", (F.col("least") != F.col("most")).alias("settled"), (F.col("x") == F.col("least")).alias("witness")), "runs")
+    kinds = suffixes.groupBy("run").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("n"))
+    kinds = checkpointed(kinds.where("n > 1"))
+    often = kinds.where(F.col("n") >= OFTEN)
+    if often.count() <= MOST_OFTEN:  # no task gets all places of a very common run
+        often, rest = F.broadcast(often), kinds.where(F.col("n") < OFTEN)
+        kept = suffixes.join(often, "run").unionByName(suffixes.join(often, "run", "left_anti").join(rest, "run", "left"), allowMissingColumns=True)
+    else:
+        kept = suffixes.join(kinds, "run", "left")
+    settled, witness = F.coalesce(F.col("least") != F.col("most"), F.lit(False)), F.coalesce(F.col("x") == F.col("least"), F.lit(True))
+    suffixes = table(kept.select("head", "t1", "t2", "place", settled.alias("settled"), witness.alias("witness")), "runs")
     delete_folder(spark, f"{folder}/repeated")
     todo = having(suffixes.where("not settled or witness"), suffixes.where("not settled"), ["head"], most=1 << 21)
     spans = suffixes.where("settled").select("t1", "t2", F.expr("((place >> 18) - (place >> 9 & 511)) << 9 | place & 511").alias("span"))
