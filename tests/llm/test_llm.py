@@ -152,7 +152,7 @@ def test_edit_similar_is_exact(spark):
         rows.append((len(rows), " ".join(a), " ".join(b) or "a"))
     d = spark.createDataFrame(rows, "i long, a string, b string")
     want = {x.i for x in d.where("levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.2)").collect()}
-    assert want and {x.i for x in lines.edit_similar(d, "a", "b", 80).collect()} == want
+    assert want and {x.i for x in d.where(lines.edit_similar("a", "b", 80)).collect()} == want
 
 
 def test_lines_alike_but_for_punctuation(spark):
