@@ -140,6 +140,25 @@ def test_lines_as_in_op1_against_brute_force(spark):
     assert len(near) > 5 and 0.98 * want <= got <= want
 
 
+def test_scattered_edits_as_in_op1(spark):
+    """Lines that share no word pairs, or few, are linked with the parameters of op1 too: short, spaced, unspaced and long ones."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    base = [" ".join(word() for _ in range(n)) for n in (2, 3, 8, 10, 20, 40, 300) for _ in range(2)] + ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (10, 80) for _ in range(2)]
+    texts = []
+    for b in base:
+        c = list(b)
+        for i in range(2, len(c) - 2, 6):
+            c[i] = "z"
+        texts += [b, "".join(c)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lines.deduplicate_lines(docs, taken=lines.TAKEN, shared=lines.SHARED, least_bytes=lines.LEAST_BYTES)
+    near = docs.selectExpr("doc_id a", "text ta").join(docs.selectExpr("doc_id b", "text tb"), F.expr("a + 1 = b and a % 2 = 0 and levenshtein(ta, tb) * 100 <= greatest(length(ta), length(tb)) * 20"))
+    want = {x.b for x in near.collect()}
+    assert len(want) == len(base)
+    assert {x.doc_id for x in got.where("n_removed > 0").collect()} == want
+
+
 def test_edit_similar_is_exact(spark):
     r, rows = random.Random(5), []
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 6)))
