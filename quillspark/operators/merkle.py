@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,44 +21,62 @@ def chain_heads(log: DataFrame, by: list[str], order: str, entry: Column) -> Dat
     return lists.select(*by, "n", chain(F.transform("e", lambda x: x["h"])).alias("head"))
 
 
-def _parents(level: DataFrame, by: list[str], empty: str) -> DataFrame:
-    """The next level of (by, i, h), i from 0: H(01 || left || right), ``empty`` for a missing right."""
-    pairs = level.groupBy(*by, F.expr("i div 2").alias("p")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("h"))).alias("r"))
-    return pairs.select(*by, F.col("p").alias("i"), F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex("l"), F.unhex(F.coalesce("r", F.lit(empty)))), 256).alias("h"))
-
-
-def merkle_levels(leaves: DataFrame, by: list[str], order: list[str], leaf: str, empty: str) -> list[DataFrame]:
-    """Levels from the leaves (by, i, h) up to the roots; as many as the largest group needs. Groups that have reached their
-    root carry it along."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    level = stored(leaves.select(*by, rank.cast("long").alias("i"), F.col(leaf).alias("h")))
-    most = level.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    out = [level]
-    while most > 1:
-        sizes = level.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-        level = level.join(sizes, by)
-        level = stored(_parents(level.where("__n > 1"), by, empty).unionByName(level.where("__n = 1").select(*by, "i", "h")))
-        out.append(level)
-        most = (most + 1) // 2
+#: Levels of a tree that are built inside a row, over at most 2^LEVELS of its nodes.
+LEVELS = 8
+
+
+def _bundles(level: DataFrame, by: list[str]) -> DataFrame:
+    """(by, bundle, n, hashes): the nodes (by, i, h, n), n being those of the tree, 2^LEVELS neighbours a row, in order."""
+    rows = level.groupBy(*by, F.shiftright("i", LEVELS).alias("bundle"), "n").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("e"))
+    return rows.select(*by, "bundle", "n", F.transform("e", lambda x: x["h"]).alias("hashes"))
+
+
+def _with_levels(bundles: DataFrame, empty: str) -> DataFrame:
+    """Adds ``levels``: the bundle's nodes and those above them, H(01 || left || right) with ``empty`` for a missing right, as
+    many levels as the tree has, LEVELS more than the first at most."""
+    # level k has one above it if the tree has more than 2^k nodes
+    more = f"filter(sequence(0, {LEVELS - 1}), k -> shiftleft(1L, k) < n)"
+    one, none = "unhex('01')", f"unhex('{empty}')"
+    parents = f"transform(sequence(0, cast((size(element_at(acc, -1)) - 1) div 2 as int)), p -> unhex(sha2(concat({one}, get(element_at(acc, -1), 2 * p), coalesce(get(element_at(acc, -1), 2 * p + 1), {none})), 256)))"
+    return bundles.withColumn("levels", F.expr(f"aggregate({more}, array(hashes), (acc, k) -> array_append(acc, {parents}))"))
+
+
+def _trees(leaves: DataFrame, by: list[str], order: list[str], leaf: str, empty: str) -> list[DataFrame]:
+    """Stored bundles from those of the leaves up to those that hold a root; one table does for trees of up to 2^LEVELS leaves,
+    each further one has the first nodes of the bundles below. So leaves are shuffled once, as bytes."""
+    tree = Window.partitionBy(*by)
+    level = leaves.select(*by, *order, F.unhex(leaf).alias("h")).withColumn("i", F.row_number().over(tree.orderBy(*order)).cast("long") - 1)
+    out = [stored(_bundles(level.withColumn("n", F.count(F.lit(1)).over(tree)), by))]
+    most = out[0].agg(F.max("n")).first()[0] or 0
+    while most > 1 << LEVELS:
+        below = _with_levels(out[-1].where(F.col("n") > 1 << LEVELS), empty)
+        above = below.select(*by, F.col("bundle").alias("i"), F.expr("element_at(levels, -1)[0]").alias("h"), F.expr(f"shiftright(n + {(1 << LEVELS) - 1}, {LEVELS})").alias("n"))
+        out.append(stored(_bundles(above, by)))
+        most = (most + (1 << LEVELS) - 1) >> LEVELS
     return out
 
 
 def merkle_roots(leaves: DataFrame, by: list[str], order: list[str], leaf: str, empty: str) -> DataFrame:
-    return merkle_levels(leaves, by, order, leaf, empty)[-1].select(*by, F.col("h").alias("root"))
+    tops = [_with_levels(t.where(F.col("n") <= 1 << LEVELS), empty).select(*by, F.lower(F.hex(F.expr("element_at(levels, -1)[0]"))).alias("root")) for t in _trees(leaves, by, order, leaf, empty)]
+    return reduce(DataFrame.unionByName, tops)
 
 
 def merkle_proofs(leaves: DataFrame, by: list[str], order: list[str], leaf: str, empty: str) -> DataFrame:
-    """(by, i, h, siblings array<struct<level, side, hash>>) for each leaf: the siblings from the leaf to the root."""
-    levels = merkle_levels(leaves, by, order, leaf, empty)
-    rows = levels[0].withColumn("at", F.col("i")).withColumn("siblings", F.array().cast("array<struct<level:int,side:string,hash:string>>"))
-    for k, level in enumerate(levels[:-1]):
-        sizes = level.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-        other = level.select(*by, F.col("i").alias("__s"), F.col("h").alias("__h"))
-        rows = rows.withColumn("__s", F.col("at").bitwiseXOR(F.lit(1))).join(sizes, by).join(other, [*by, "__s"], "left")
-        item = F.struct(F.lit(k).alias("level"), F.when(F.col("at") % 2 == 0, "right").otherwise("left").alias("side"), F.coalesce("__h", F.lit(empty)).alias("hash"))
-        rows = rows.withColumn("siblings", F.when(F.col("__n") > 1, F.array_append("siblings", item)).otherwise(F.col("siblings")))
-        rows = rows.withColumn("at", F.when(F.col("__n") > 1, F.expr("at div 2")).otherwise(F.col("at"))).drop("__s", "__n", "__h")
-    return rows.drop("at")
+    """(by, i, h, siblings array<struct<level, side, hash>>, root) for each leaf: the siblings from the leaf to the root, and
+    the root."""
+    above = None
+    trees = _trees(leaves, by, order, leaf, empty)
+    for k in reversed(range(len(trees))):
+        other = f"coalesce(get(levels[l], cast(shiftright(p, l) ^ 1 as int)), unhex('{empty}'))"
+        siblings = f"transform(slice(sequence(0, {LEVELS}), 1, size(levels) - 1), l -> struct(l + {k * LEVELS} as level, if(shiftright(p, l) % 2 = 0, 'right', 'left') as side, lower(hex({other})) as hash))"
+        proofs = f"transform(hashes, (h, p) -> struct(bundle * {1 << LEVELS} + p as i, lower(hex(h)) as h, {siblings} as siblings, lower(hex(element_at(levels, -1)[0])) as root))"
+        rows = _with_levels(trees[k], empty).select(*by, "n", F.explode(F.expr(proofs)).alias("x")).select(*by, "n", "x.*")
+        if above is not None:
+            whole, parts = rows.where(F.col("n") <= 1 << LEVELS), rows.where(F.col("n") > 1 << LEVELS).withColumn("__up", F.shiftright("i", LEVELS))
+            parts = parts.join(above, [*by, "__up"])
+            rows = whole.unionByName(parts.select(*by, "n", "i", "h", F.concat("siblings", "__siblings").alias("siblings"), F.col("__root").alias("root")))
+        above = rows.select(*by, F.col("i").alias("__up"), F.col("siblings").alias("__siblings"), F.col("root").alias("__root"))
+    return rows.drop("n")
 
 
 def verified_root(leaf: Column, siblings: Column) -> Column:

@@ -25,10 +25,10 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.select(
         "o_orderkey", F.col("o_custkey").alias("sender"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("priority"),
         F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("payload"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
-        sha256_domain(TX, as_bytes(F.col("o_orderkey").cast("string"))).alias("tx_id"),
         F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("nonce"),
     )
-    return numbered(rows, F.to_date("ts"), ["ts", "o_orderkey"])
+    tx_id = sha256_domain(TX, as_bytes(F.col("o_orderkey").cast("string")))  # after the shuffles of numbering
+    return numbered(rows, F.to_date("ts"), ["ts", "o_orderkey"]).withColumn("tx_id", tx_id).select(*rows.columns[:-1], "tx_id", "nonce", "seq")
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:

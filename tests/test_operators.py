@@ -41,6 +41,37 @@ def test_domain(spark):
     assert got == "d2c79d9973bfdaa70e406338d4f4b77e4941dbf90fa84bbbe6769808587528ad"
 
 
+def plain_merkle(leaves, empty):
+    """Levels of one tree, from the leaves to the root."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        x = levels[-1] + [empty] * (len(levels[-1]) % 2)
+        levels.append([hashlib.sha256(b"\x01" + bytes.fromhex(x[i] + x[i + 1])).hexdigest() for i in range(0, len(x), 2)])
+    return levels
+
+
+def test_merkle_of_small_and_large_groups(spark):
+    sizes, empty = {"a": 1, "b": 2, "c": 3, "d": 11, "e": 256, "f": 257, "g": 700}, "00" * 32
+    hashes = {g: [hashlib.sha256(f"{g}{i}".encode()).hexdigest() for i in range(n)] for g, n in sizes.items()}
+    rows = spark.createDataFrame([(g, 10 * i, h) for g, x in hashes.items() for i, h in enumerate(x)], "g string, seq long, leaf string")
+    want = {g: plain_merkle(x, empty) for g, x in hashes.items()}
+    assert {r.g: r.root for r in merkle.merkle_roots(rows, ["g"], ["seq"], "leaf", empty).collect()} == {g: x[-1][0] for g, x in want.items()}
+    proofs = merkle.merkle_proofs(rows, ["g"], ["seq"], "leaf", empty)
+    got = proofs.withColumn("led", merkle.verified_root(F.col("h"), F.col("siblings"))).collect()
+    assert len(got) == sum(sizes.values())
+    for r in got:
+        levels = want[r.g]
+        path = [(k, "left" if (r.i >> k) % 2 else "right", (levels[k] + [empty])[(r.i >> k) ^ 1]) for k in range(len(levels) - 1)]
+        assert r.h == levels[0][r.i] and [tuple(s) for s in r.siblings] == path and r.root == r.led == levels[-1][0]
+
+
+def test_merkle_shuffles_leaves_once(spark):
+    """Trees of few leaves are built inside rows: a proof's plan has neither shuffles nor joins beyond the stored leaves."""
+    rows = spark.range(1000).selectExpr("id div 10 g", "id seq", "sha2(cast(id as string), 256) leaf")
+    plan = merkle.merkle_proofs(rows, ["g"], ["seq"], "leaf", "00" * 32)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def plain_trie(items, depth=0):
     """A trie by insertion of one key after another would have this root: defined on the sorted set."""
     h = lambda *x: hashlib.sha256(b"".join(x)).digest()
