@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import values as V
 from ..operators import consensus, merkle, sequence, state, stats
+from ..sources.scratch import stored
 from . import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,7 +102,7 @@ def state_diff(s, d):
 
 @query("select key, value from state")
 def apply_diff(s, d):
-    both = _versions(s, d)
+    both = stored(_versions(s, d))  # read twice
     return state.apply_diff(state.version_of(both, ["key"], "old"), state.changed(both, ["key"]), ["key"])
 
 
@@ -691,7 +692,7 @@ def replay_root_match(s, d):
         entries = rows.groupBy(F.expr("key div 100").alias("shard")).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.count(F.lit(1)).alias("n"))
         return entries.select("shard", "n", H.sha256(H.as_bytes(F.array_join(F.transform("e", lambda x: x["e"]), ";"))).alias("digest"))
 
-    both = _versions(s, d)
+    both = stored(_versions(s, d))  # read three times
     replayed = digests(state.apply_diff(state.version_of(both, ["key"], "old"), state.changed(both, ["key"]), ["key"]))
     full = digests(state.version_of(both, ["key"], "new")).select("shard", F.col("digest").alias("want"))
     return replayed.join(full, "shard", "left").select("shard", "n", "digest", F.col("digest").eqNullSafe(F.col("want")).alias("same"))

@@ -37,3 +37,10 @@ def test_matches_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["replay_root_match", "apply_diff"])
+def test_changes_are_folded_once(spark, name):
+    """Both states are stored; what follows does not read the change feed again."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
