@@ -44,3 +44,14 @@ def test_changes_are_folded_once(spark, name):
     """Both states are stored; what follows does not read the change feed again."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def test_accesses_are_dealt_before_they_are_told_apart(spark, monkeypatch):
+    """One shuffle, of lines; its number of parts follows theirs, so no task's table of accesses grows with the input."""
+    from quillspark.plans import relations
+
+    monkeypatch.setattr(relations, "LINES_A_TASK", 200, raising=False)
+    got = QUERIES["access_sets"](spark, DATA)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+    assert got.rdd.getNumPartitions() == spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 200
