@@ -194,7 +194,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names:
                 flush()
             yield pd.DataFrame({"lang_pred": lang, "score": score, "fit": fit})
 
-    guess = F.pandas_udf(run, "lang_pred string, score double, fit double")
+    # else a filter on the result has the texts predicted a second time, by Python workers of its own
+    guess = F.pandas_udf(run, "lang_pred string, score double, fit double").asNondeterministic()
     return docs.select(*[F.col(f"`{c}`") for c in keep], guess(F.col(f"`{text_col}`")).alias("__guess")).select(
         *[F.col(f"`{c}`") for c in keep], *[F.col(f"__guess.{c}").alias(name) for c, name in zip(("lang_pred", "score", "fit"), names, strict=True)]
     )

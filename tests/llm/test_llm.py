@@ -571,6 +571,14 @@ def test_pipeline(spark, edge, none):
     assert lang.count() >= 0.99 * spark.read.parquet(f"{SMALL}/documents.parquet").count()
 
 
+def test_pipeline_predicts_once(spark):
+    """The filter on the prediction does not have it computed again."""
+    import corpus_pipeline
+
+    plan = corpus_pipeline.language(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_pipeline_edges(spark):
     """Nulls, empty, letterless and noise texts, repeated rows and ids, and columns called as those used inside."""
     import corpus_pipeline
