@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import heapq
+import os
 import random
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, hnsw, langid, lines, minhash, mixing, nndescent, pii, sharding, suffixes
+from quillspark.llm import bpe, common, hnsw, langid, lines, minhash, mixing, nndescent, pii, sharding, suffixes
 from quillspark.llm.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -174,6 +175,33 @@ def test_edit_similar_is_exact(spark):
     assert want and {x.i for x in d.where(lines.edit_similar("a", "b", 80)).collect()} == want
 
 
+def test_outlines_take_no_more_edits(spark):
+    """The edits of two outlines are no more than those of the lines, whatever is put in, left out or replaced."""
+    r, rows = random.Random(31), []
+    for _ in range(1500):
+        a = [r.choice("aeiou\u00e9\u0435bdkz \u043a\u4e2d7") for _ in range(r.randint(0, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 6)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = [r.choice("aeobz ")] * r.randint(0, 1)
+        rows.append(("".join(a), "".join(b)))
+    d = spark.createDataFrame(rows, "a string, b string")
+    d = d.selectExpr("levenshtein(a, b) edits", f"levenshtein({lines._outline('a')}, {lines._outline('b')}) outlined", "length(a) n")
+    assert d.where("outlined > edits").count() == 0 and d.where("outlined > 0 and n > 9").count() > 500
+
+
+def test_exact_step_stores_texts_once(spark):
+    r = random.Random(37)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1000)) for _ in range(400)]
+    with common.scope(spark) as tables:
+        table = tables.store(spark.createDataFrame(list(enumerate(texts)), "node long, norm string"))
+        found = lines._links_between(tables, table, table.selectExpr("node", "0L as component"), 80)
+        assert found.count() == 0
+        folders = [f.removeprefix("file:") for f in tables.folders]
+        stored = sum(os.path.getsize(os.path.join(at, f)) for folder in folders for at, _, names in os.walk(folder) for f in names)
+        assert 0 < stored < 1.5 * sum(map(len, texts))
+
+
 def test_lines_alike_but_for_punctuation(spark):
     rows = [(1, "und aebe.\nx"), (2, "und | aebe.\r\ny"), (3, "und###\taebe!!"), (4, "-----\n\r\n\t"), (5, "-----\r\n\r\n\t"), (None, "\u0915\u093f \u0916\nonly here, once again"), (None, "\u0915\u0940 \u0916"), (7, "only here, once agair")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
