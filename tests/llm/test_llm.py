@@ -202,6 +202,36 @@ def test_exact_step_stores_texts_once(spark):
         assert 0 < stored < 1.5 * sum(map(len, texts))
 
 
+def test_exact_step_counts_characters_in_compiled_code(spark, monkeypatch):
+    """Counts are those of the characters, and no generated method is beyond the 8,000 bytes that the JVM compiles."""
+    r, sizes, counted = random.Random(41), [], {}
+    texts = ["".join(r.choice("abcdefgz \u00e9\u4e2d\U00020000\U0001f600") for _ in range(r.randint(1, 60))) for _ in range(50)]
+    store = common.Scope.store
+
+    def watched(self, df):
+        out = store(self, df)
+        if "c0" in df.columns:
+            stages = df._jdf.queryExecution().debug().codegenToSeq().iterator()
+            while stages.hasNext():
+                sizes.append(stages.next()._3().maxMethodCodeSize())
+            counted.update({x.norm: [x[f"c{i}"] for i in range(lines.COUNTS)] for x in out.collect()})
+        return out
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the code is not known before the job runs
+    try:
+        with common.scope(spark) as tables:
+            table = tables.store(spark.createDataFrame(list(enumerate(texts)), "node long, norm string"))
+            monkeypatch.setattr(common.Scope, "store", watched)
+            lines._links_between(tables, table, table.selectExpr("node", "0L as component"), 80)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    for t in texts:
+        kinds = collections.Counter(ord(c) % lines.COUNTS for c in t)
+        assert counted[t] == [kinds[i] for i in range(lines.COUNTS)]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_lines_alike_but_for_punctuation(spark):
     rows = [(1, "und aebe.\nx"), (2, "und | aebe.\r\ny"), (3, "und###\taebe!!"), (4, "-----\n\r\n\t"), (5, "-----\r\n\r\n\t"), (None, "\u0915\u093f \u0916\nonly here, once again"), (None, "\u0915\u0940 \u0916"), (7, "only here, once agair")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
